@@ -11,12 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import conversations_without_quotes
+
+    return conversations_without_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -29,6 +41,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import fingerprint_pairs
+
+    return fingerprint_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -41,12 +77,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash_near_dedup": op2_simhash_near_dedup,
-    "op4_toxicity": op4_toxicity,
-    "op5_decontamination": op5_decontamination,
-    "op10_best_fit_packing": op10_best_fit_packing,
-    "pipeline": pipeline,
-}
+_ALL = (
+    op1_sharding, op2_simhash_near_dedup, op3_quotation_linking, op4_toxicity, op5_decontamination, op6_lm_scoring,
+    op7_scaled_sketch, op8_html_extraction, op9_warc, op10_best_fit_packing, pipeline,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
