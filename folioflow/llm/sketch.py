@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, shuffle_parts, small_table, with_range
 
-SCALE = 8  # one shingle in SCALE is kept
+SCALE = 4  # one shingle in SCALE is kept
 SHINGLE = 5
 
 
@@ -72,7 +72,8 @@ def with_next(ws: Workspace, docs: DataFrame, order: str, columns: list[str], bu
 def fingerprint_pairs(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
-    Null texts count as empty: no shingles, an empty fingerprint, likeness 0. A null id sorts after all others; rows
+    Null texts count as empty: no shingles, an empty fingerprint. Equal texts have likeness 1; otherwise a text whose
+    fingerprint kept nothing has likeness 0. A null id sorts after all others; rows
     with equal ids sort by text, repeated rows are each other's next. A single row is its own next. Likeness is the
     containment of the document's own fingerprint in the other. Texts of any length are read whole.
     """
@@ -84,10 +85,17 @@ def fingerprint_pairs(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "_sketch", "next__sketch")
+    rows = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "_sketch", "next__sketch",
+        (F.col("text") == edited).alias("_unedited"), (F.col("text") == F.col("next_text")).alias("_same"),
+    )
     rows = rows.withColumn("_esketch", sketch(F.col("_edited"), scale))
+
+    def likeness(same: str, other: str) -> Column:
+        return F.when(F.col(same), F.lit(1.0)).otherwise(containment(F.col("_sketch"), F.col(other)))
+
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("_sketch")).alias("fingerprint"),
-        as_text(F.col("_esketch")).alias("edited_fingerprint"), containment(F.col("_sketch"), F.col("_esketch")).alias("near_edited"),
-        containment(F.col("_sketch"), F.col("next__sketch")).alias("near_next"),
+        as_text(F.col("_esketch")).alias("edited_fingerprint"), likeness("_unedited", "_esketch").alias("near_edited"),
+        likeness("_same", "next__sketch").alias("near_next"),
     )
