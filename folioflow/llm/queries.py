@@ -83,4 +83,10 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be put in SQL (hashes, models, parsers, packing); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS g FROM pages),
+k AS (SELECT g, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY g),
+r AS (SELECT p.*, CASE WHEN page_id < kept THEN kept END AS refers_to FROM p LEFT JOIN k ON k.g = p.g AND p.n >= 1000)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+}

@@ -349,6 +349,18 @@ def test_warc(spark):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
+def test_warc_query_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from folioflow.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
+    want = con.execute(ORACLE_SQL["op9_warc"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["op9_warc"](spark, "/root/testdata/sf0.001").select(names).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+
+
 def test_warc_filters_skip_payloads(spark):
     p = spark.createDataFrame([(i, "http://a", "x" * (2000 + i // 2 * 2)) for i in range(10)], "page_id long, url string, html string")
     back = warc.read_archives(spark, warc.write_archives(Workspace(spark, "t"), p))
