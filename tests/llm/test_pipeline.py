@@ -43,6 +43,45 @@ def test_run_is_the_stages(spark, folder):
     assert out.count() > 100 and out.agg({"length": "max"}).first()[0] <= 1024
 
 
+def test_near_copies_by_shingles(spark, monkeypatch):
+    """Against brute force: groups are the closure of 3 bits or a likeness of 0.8 over five words."""
+    import random
+
+    from folioflow.llm import jaccard, simhash
+
+    r = random.Random(7)
+    line = "one very common line that stands at the end of all these texts here"
+    base = [[f"v{r.randrange(400)}" for _ in range(r.randint(20, 90))] for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for _ in range(3):
+            c = list(w)
+            for _ in range(r.randint(1, 2)):
+                c[r.randrange(len(c))] = f"x{r.randrange(9999)}"
+            texts.append(" ".join(c))
+    crowd = [f"c{i}" for i in range(100)]
+    texts += [" ".join([*crowd[:k], f"y{k}", *crowd[k + 1 :]]) for k in range(10, 50)]  # one large group
+    texts += [f"z{k} z{k + 1} {line}" for k in range(30)] + [line, None, "", "one two"]
+    fp, sets = [simhash.fingerprint(t.encode() if t else None) for t in texts], [set(jaccard.shingles(t.encode() if t else None).tolist()) for t in texts]
+    label, linked = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]) > 0
+            close = (fp[i] ^ fp[j]).bit_count() <= 3
+            linked += alike and not close
+            if alike or close:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert linked > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(set(label))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    monkeypatch.setattr(jaccard, "SAMPLE", 20)
+    monkeypatch.setattr(jaccard, "ALL_PAIRS", 2)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
