@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; every block element starts a new line, which carries its text, its number
 of tags and the elements around it. The text-to-tag ratios of all lines outside page furniture are smoothed with a
-Gaussian and split at a threshold; the content region is the innermost element that holds most of the text above it,
-and all its lines are kept, short ones too.
+Gaussian and split at a threshold; the content regions are the outermost articles and main elements with text above it,
+or else the innermost element around all of it, and all their lines are kept, short ones too.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_REGIONS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never shown, or is furniture wherever it stands.
@@ -115,6 +116,13 @@ class Lines(HTMLParser):
             self.open = True
         self.lines[-1][0].append(data)
 
+    def path(self, at: int) -> set[int]:
+        out = {at}
+        while at >= 0:
+            at = self.parents[at]
+            out.add(at)
+        return out
+
 
 def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     r = int(3 * sigma)
@@ -123,8 +131,11 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(pad, k / k.sum(), "valid")
 
 
-def main_text(html: str | None, share: float = 0.8) -> str:
-    """Blocks of the content region in page order, each with single spaces, joined by a space; no content: empty."""
+def main_text(html: str | None, share: float = 0.5) -> str:
+    """Blocks of the content regions in page order, each with single spaces, joined by a space; no content: empty.
+
+    Articles and main elements are the regions if they hold ``share`` of the text above the threshold.
+    """
     if not html:
         return ""
     p = Lines()
@@ -136,26 +147,13 @@ def main_text(html: str | None, share: float = 0.8) -> str:
         return ""
     ratio = smoothed(np.array([len(t) / tags for t, tags, _ in lines]))
     dense = ratio >= min(ratio.mean(), max(ratio.std(), ratio.mean() / 4))
-    held: dict[int, int] = {}
-    total = 0
-    paths = []
-    for (t, _, at), d in zip(lines, dense, strict=True):
-        path = [at]
-        while at >= 0:
-            at = p.parents[at]
-            path.append(at)
-        paths.append(set(path))
-        if d:
-            total += len(t)
-            for x in path:
-                held[x] = held.get(x, 0) + len(t)
-    regions = [x for x, n in held.items() if x >= 0 and p.names[x] in ("article", "main", "section", "div", "td", "body", "html") and n >= share * total]
-    named = [x for x, n in held.items() if x >= 0 and p.names[x] in ("article", "main") and n >= 0.3 * total]
-    if named and not any(p.names[x] in ("article", "main") for x in regions):
-        chosen = set(named)  # several articles share the text
-    else:
-        chosen = {next((x for x in sorted(regions, reverse=True) if p.names[x] == "article"), max(regions, default=-1))}
-    return " ".join(t for (t, _, _), path in zip(lines, paths, strict=True) if path & chosen)
+    paths = [p.path(at) for _, _, at in lines]
+    above = [(len(t), path) for (t, _, _), path, d in zip(lines, paths, dense, strict=True) if d]
+    regions = {min(x) for _, path in above if (x := [i for i in path if i >= 0 and p.names[i] in _REGIONS])}
+    if sum(n for n, path in above if path & regions) < share * sum(n for n, _ in above):
+        around = set.intersection(*(path for _, path in above))
+        regions = {max((i for i in around if i >= 0 and p.names[i] in ("article", "main", "section", "div", "td", "body", "html")), default=-1)}
+    return " ".join(t for (t, _, _), path in zip(lines, paths, strict=True) if path & regions)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -326,6 +326,17 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+LONG = "A sentence of the text that is long enough to be dense. " * 4
+
+
+def test_regions_keep_title_lead_and_every_article():
+    lead, body = "A lead of some words before it.", LONG.strip()
+    assert htmltext.main_text(f"<main><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p><p>{body}</p></div></main>") == f"Title {lead} {body} {body}"
+    a, b, c = ("a" * 40 + " ") * 8, ("b" * 40 + " ") * 7, ("c" * 40 + " ") * 5
+    assert htmltext.main_text("".join(f"<article><p>{x}</p></article>" for x in (a, b, c))) == f"{a}{b}{c}".strip()
+    assert htmltext.main_text(f"<body><div><p>{body}</p><p>{body}</p></div><div><article><p>{lead}</p></article></div></body>") == f"{body} {body} {lead}"
+
+
 def test_extract_table(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>é x</p></article>", "z"), (1, "u", "<article><p>é x</p></article>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, htmltext.extract(p).collect())) == sorted(["Row(page_id=1, url='u', text='é x', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
