@@ -17,19 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_REGIONS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never shown, or is furniture wherever it stands.
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video textarea select option button datalist title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
+_WORD = (
+    r"(?:ad|ads|advert\w*|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|footer|"
     r"side-?bar|widget|related|recommend\w*|share|sharing|social|cookies?|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|"
-    r"comments?|disqus|replies|respond|pagination|pager|toolbar|search|skip-?link|copyright|legal)(?:$|[\s_-])",
-    re.I,
+    r"comments?|disqus|replies|respond|pagination|pager|toolbar|search|skip-?link|copyright|legal)"
 )
+_PLAIN = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|bar|block|box|container|wrapper|wrap|inner|section|area|list|item|items|links?|icons?|buttons?|form|posts?|articles?|slot|unit|\d+)"
+#: A whole class name or id: furniture words, with words that only say where or what kind of box. 'has-sidebar' is none.
+_MARKED = re.compile(rf"(?:{_PLAIN}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLAIN}))*", re.I)
+_HEADING = re.compile(rf"(?:{_PLAIN}[_-]+)*(?:header|masthead)(?:[_-]+(?:{_WORD}|{_PLAIN}))*", re.I)
+#: What may stand in a head; any other element ends it.
+_IN_HEAD = frozenset("base link meta title style script noscript template object".split())
+_REGIONS = frozenset(("article", "main"))
 #: A start tag closes an open element of these kinds first.
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -38,52 +43,68 @@ _SCOPE = frozenset("ul ol dl table select article section main div body td".spli
 
 
 class Lines(HTMLParser):
-    """Collects [text parts, tags, path of element numbers] for every line outside furniture."""
+    """Collects [parts (text, element), elements around each tag] for every line outside what is silent or hidden.
+
+    ``marks`` holds the elements that look like furniture: 1 by class, id or as a form, 2 by name or role.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, furniture or silent from here on
+        self.stack: list[tuple[str, int, bool]] = []  # name, number, silent from here on
         self.names: list[str] = []
         self.parents: list[int] = []
+        self.marks: dict[int, int] = {}
         self.lines: list[list] = []
         self.muted, self.open = 0, False
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SILENT or tag in FURNITURE:
-            return True
-        inside = any(n in ("article", "main") for n, _, _ in self.stack)
+    def _hidden(self, tag: str, got: dict[str, str | None]) -> bool:
+        return tag in SILENT or "hidden" in got or got.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style") or "", re.I))
+
+    def _mark(self, tag: str, got: dict[str, str | None]) -> int:
+        inside = any(n in _REGIONS for n, _, _ in self.stack)
+        if tag in FURNITURE:
+            return 1 if tag == "form" else 2
         if tag == "header":
-            return not inside
-        got = dict(attrs)
-        if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style") or "", re.I):
-            return True
+            return 0 if inside else 2
         if (got.get("role") or "").strip().lower() in ROLES:
-            return True
+            return 2
         if tag in ("html", "body", "article", "main"):
-            return False
-        return any(_MARKED.search(got.get(k) or "") for k in ("class", "id"))
+            return 0
+        names = [x for k in ("class", "id") for x in (got.get(k) or "").split()]
+        return int(any(_MARKED.fullmatch(x) or not inside and _HEADING.fullmatch(x) for x in names))
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in _IN_HEAD):
+            self._end_head()
         if tag == "p" or tag in BLOCKS:
             self._close_open("p", frozenset(("td", "th", "li", "div", "article", "section", "main", "body", "blockquote")))
         if tag in _CLOSES:
             for name in _CLOSES[tag]:
                 self._close_open(name, _SCOPE)
+        around = self.stack[-1][1] if self.stack else -1
         if tag in BLOCKS or tag == "br":
             self.open = False
         elif self.lines and not self.muted:
-            self.lines[-1][1] += 1
+            self.lines[-1][1].append(around)
         if tag in VOID:
             return
-        marked = self._marked(tag, attrs)
-        self.parents.append(self.stack[-1][1] if self.stack else -1)
+        got = dict(attrs)
+        hidden = self._hidden(tag, got)
+        if mark := self._mark(tag, got):
+            self.marks[len(self.names)] = mark
+        self.parents.append(around)
         self.names.append(tag)
-        self.stack.append((tag, len(self.names) - 1, marked))
-        self.muted += marked
+        self.stack.append((tag, len(self.names) - 1, hidden))
+        self.muted += hidden
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
+    def _end_head(self):
+        at = next((i for i, (n, _, _) in enumerate(self.stack) if n == "head"), None)
+        if at is not None:
+            self._pop(at)
+
     def _close_open(self, name: str, stop: frozenset):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
@@ -107,14 +128,16 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.muted:
             return
         if not self.open:
             if not data.strip():
                 return
-            self.lines.append([[], 1, self.stack[-1][1] if self.stack else -1])
+            self.lines.append([[], []])
             self.open = True
-        self.lines[-1][0].append(data)
+        self.lines[-1][0].append((data, self.stack[-1][1] if self.stack else -1))
 
     def path(self, at: int) -> set[int]:
         out = {at}
@@ -123,6 +146,21 @@ class Lines(HTMLParser):
             out.add(at)
         return out
 
+    def furniture(self) -> set[int]:
+        """Marked elements, but none around a main element; and where no other article or main has text, none around an article or (by class, id, form) around most of the text."""
+        size: dict[int, int] = {}
+        for parts, _ in self.lines:
+            for t, at in parts:
+                size[at] = size.get(at, 0) + len("".join(t.split()))
+        held: dict[int, int] = {}
+        for at, n in size.items():
+            for x in self.path(at):
+                held[x] = held.get(x, 0) + n
+        regions = [i for i, n in enumerate(self.names) if n in _REGIONS and held.get(i)]
+        free = any(not self.path(i) & self.marks.keys() for i in regions)
+        spared = set().union(*(self.path(i) for i in regions if not free or self.names[i] == "main"))
+        return {x for x, kind in self.marks.items() if x not in spared and (free or kind == 2 or 2 * held.get(x, 0) <= held.get(-1, 0))}
+
 
 def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     r = int(3 * sigma)
@@ -141,8 +179,16 @@ def main_text(html: str | None, share: float = 0.5) -> str:
     p = Lines()
     p.feed(html)
     p.close()
-    lines = [(" ".join("".join(t).split()), tags, at) for t, tags, at in p.lines]
-    lines = [x for x in lines if x[0]]
+    furniture = p.furniture()
+    away = {at: bool(p.path(at) & furniture) for at in {-1, *(x for parts, tags in p.lines for x in (*(at for _, at in parts), *tags))}}
+    lines: list[list] = []
+    for parts, tags in p.lines:
+        kept = [x for x in parts if not away[x[1]]]
+        text = " ".join("".join(t for t, _ in kept).split())
+        if text:
+            lines.append([text, 1, next(at for t, at in kept if t.strip())])
+        if lines:
+            lines[-1][1] += sum(not away[x] for x in tags)
     if not lines:
         return ""
     ratio = smoothed(np.array([len(t) / tags for t, tags, _ in lines]))

@@ -337,6 +337,17 @@ def test_regions_keep_title_lead_and_every_article():
     assert htmltext.main_text(f"<body><div><p>{body}</p><p>{body}</p></div><div><article><p>{lead}</p></article></div></body>") == f"{body} {body} {lead}"
 
 
+def test_wrappers_and_open_head_lose_nothing():
+    text = LONG.strip()
+    for name in ("layout has-sidebar", "with-header", "widget", "page-header"):
+        assert htmltext.main_text(f"<body><nav>n</nav><div class='{name}'><article><h1>T</h1><p>{text}</p></article></div></body>") == f"T {text}"
+    assert htmltext.main_text(f"<article><div class='article-header'><h1>T</h1></div><p>{text}</p><div class='site-footer'>f</div></article>") == f"T {text}"
+    assert htmltext.main_text(f"<html><head><title>x</title><meta charset=utf-8><body><p>{text}</p></body></html>") == text
+    assert htmltext.main_text(f"<html><head><title>x</title><p>{text}</p></html>") == text
+    assert htmltext.main_text(f"<body><form id=f><div><p>{text}</p></div></form><nav>n</nav></body>") == text
+    assert htmltext.main_text(f"<body><article><p>{text}</p><p>a <span class=ad>buy</span> b</p></article><div class=related><article><p>{text}</p></article></div></body>") == f"{text} a b"
+
+
 def test_extract_table(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>é x</p></article>", "z"), (1, "u", "<article><p>é x</p></article>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, htmltext.extract(p).collect())) == sorted(["Row(page_id=1, url='u', text='é x', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
