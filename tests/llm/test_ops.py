@@ -184,6 +184,18 @@ def test_quotes(spark):
     assert quotes.conversations_without_quotes(t.limit(0)).count() == 0
 
 
+def test_quotes_link_whole_passages(spark):
+    m = [
+        (1, 0, "a", "Something else"), (1, 1, "b", "Yes, I agree"), (1, 2, "a", "See you Monday"), (1, 5, "b", "Yes, I agree\nSee you Monday"), (1, 6, "a", "> Yes, I agree\n> See you Monday\nok"),
+        (2, 0, "a", "a quote that is wrapped\nat other line ends than before"), (2, 1, "b", "between"), (2, 2, "a", "> a quote that\n> is wrapped at other\n> line ends\nright"),
+        (3, 0, "a", "same words here"), (3, 1, "b", "same words here"), (3, 5000, "a", "> same words here\n> and not these\nx"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations_without_quotes(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 6]["parent_turn"] == 5 and got[1, 6]["n_linked"] == 2
+    assert got[2, 2]["parent_turn"] == 0 and got[2, 2]["n_linked"] == got[2, 2]["n_quoted"] == 3
+    assert got[3, 5000]["parent_turn"] == 1 and got[3, 5000]["n_linked"] == 1 and got[3, 5000]["n_quoted"] == 2
+
+
 # 4
 def test_toxicity(spark, none):
     r = random.Random(4)
