@@ -357,9 +357,9 @@ def test_what_follows_a_word_is_expected_to_sum_to_at_most_one():
     for h in np.flatnonzero(counts):
         got = read.levels(lmscore.pair_keys(np.full(v, vocab[h]), vocab))
         _, seen, single = lmscore.probability(got, np.full(v, counts[h]), counts, len(text), words)
-        sums.append(seen[counts > 0].sum())
+        sums.append((counts[h], seen[counts > 0].sum()))
         assert single[counts > 0].sum() + 1 / (len(text) + words + 1) <= 1 + 1e-9
-    assert np.mean(sums) <= 1 and max(sums) <= 1.1  # a level read one too high by chance doubles one pair
+    assert np.mean([x for _, x in sums]) <= 0.9 and max(x for n, x in sums if n >= 100) <= 1 and max(x for _, x in sums) < 1.5  # a level read too high by chance doubles a pair: seen with rare histories alone
 
 
 # 7

@@ -8,7 +8,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
-    clean = [f"plain text number {i} " + " ".join(f"w{(i * 7 + k) % 97}" for k in range(40)) for i in range(120)]
+    clean = [f"plain text number {i} " + " ".join(f"w{(i * 7919 + k * k * 31 + k) % 997}" for k in range(40)) for i in range(120)]  # no two alike
     rows = [(i, t) for i, t in enumerate(clean)]
     rows += [(1000 + i, f"you idiot scum {t}") for i, t in enumerate(clean[:60:2])]
     rows += [(2000, clean[3]), (2001, clean[3] + " x"), (3000, "before the secret exam question asks what nine plus nine makes in total after")]
@@ -76,7 +76,6 @@ def test_near_copies_by_shingles(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = sorted(set(label))
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
-    monkeypatch.setattr(jaccard, "SAMPLE", 20)
     monkeypatch.setattr(jaccard, "ALL_PAIRS", 2)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
