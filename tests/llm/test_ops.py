@@ -296,6 +296,7 @@ def brute_scores(tokens, out):
     def parts(h, x, less):
         level = pair[h, x].bit_length()
         p = max(min(1 << level - 1 if level else 0, single[h], single[x]) - less, 0)
+        p = p if min(single[h], single[x]) - less > 1 else 0
         return single[h] - less, p / (single[h] - less + 0.01), (single[x] - less + 1) / (n - less + v + 1)
 
     by: dict = {}
@@ -326,7 +327,7 @@ def test_filter_levels():
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
     counts = rng.zipf(1.5, len(keys)).clip(1, 10**6)
     want = np.floor(np.log2(counts.astype(float))).astype(int) + 1
-    probes = lmscore.first_probes(1000)  # at most 32 of 1000 absent pairs
+    probes = lmscore.first_probes(1000, 32)  # at most 32 of 1000 absent pairs
     bits = lmscore.Bits(lmscore.Bits.size(int(want.sum()), len(keys), probes), probes)
     for part in (slice(0, 2000), slice(2000, None)):
         bits.put(keys[part], want[part])
@@ -349,14 +350,14 @@ def test_what_follows_a_word_is_expected_to_sum_to_at_most_one():
     keys = lmscore.pair_keys(vocab[[h for h, _ in pairs]], vocab[[w for _, w in pairs]])
     level = np.array([n.bit_length() for n in pairs.values()])
     words = int((counts > 0).sum())
-    probes = lmscore.first_probes(words)
+    probes = lmscore.first_probes(words, 32)
     bits = lmscore.Bits(lmscore.Bits.size(int(level.sum()), len(keys), probes), probes)
     bits.put(keys, level)
     read = lmscore.Bits(bits.n, probes, bits.packed())
     sums = []
     for h in np.flatnonzero(counts):
         got = read.levels(lmscore.pair_keys(np.full(v, vocab[h]), vocab))
-        _, seen, single = lmscore.probability(got, np.full(v, counts[h]), counts, len(text), words)
+        _, seen, single = lmscore.probability(got, np.full(v, counts[h]), counts, len(text), words, 0, 32)
         sums.append((counts[h], seen[counts > 0].sum()))
         assert single[counts > 0].sum() + 1 / (len(text) + words + 1) <= 1 + 1e-9
     assert np.mean([x for _, x in sums]) <= 0.9 and max(x for n, x in sums if n >= 100) <= 1 and max(x for _, x in sums) < 1.5  # a level read too high by chance doubles a pair: seen with rare histories alone
