@@ -6,6 +6,7 @@ Every intermediate that is read more than once is written to the folder all exec
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_own_shared_folder", None)
     if own is None:
         own = spark.sparkContext._own_shared_folder = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -48,6 +51,11 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._kept_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of tables that nothing refers to any more; it does so when its driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Driver rows of a bounded count as a table that the JVM builds (no Python on the executors)."""
