@@ -1,13 +1,16 @@
 """Best-fit packing of token pieces: a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits a sequence. Multiplicative weights price the lengths, a knapsack
-dynamic program finds the dearest configuration, and the fractional cover is rounded to whole sequences; what rounding
-leaves is priced again and the last rest goes in by best fit. Only the histogram (one row per length) reaches the
-driver; ranks within a length tie pieces to sequences without moving them together.
+dynamic program finds the dearest configuration, and the cover is rounded to whole sequences; what rounding leaves is
+priced again, and best fit takes the rest once a solution places little of it. All of this works on the histogram
+(one row per length), also best fit, so the driver's work does not grow with the number of pieces; ranks within a length
+tie pieces to sequences without moving them together.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_parts
+from .common import Workspace, small_table
 
-CAPACITY, END_ID, END_TEXT = 1024, 2, "<|endoftext|>"
+CAPACITY, END_ID = 1024, 2
+#: Rows that are ranked together, and buckets of such in all (besides one a length).
+BUCKET_ROWS, MAX_BUCKETS = 1 << 20, 1 << 18
 
 
 def best_knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
@@ -44,23 +49,24 @@ def best_knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
     return dict(out)
 
 
-def fractional_cover(demand: dict[int, int], capacity: int, rounds: int = 3000, eta: float = 12.0, step: float = 0.5) -> list[tuple[dict[int, int], float]]:
+def fractional_cover(demand: dict[int, int], capacity: int, rounds: int = 3000, eta: float = 3.0, dear: float = 2.0) -> list[tuple[dict[int, int], float]]:
     """Configurations and how many of each (fractional) cover the demand, by multiplicative weights.
 
-    A length's price starts as the room it takes (the dual of a perfect packing) and falls exponentially with the share
-    of its demand that is covered. Each round buys the dearest configuration for half the demand of its scarcest length;
-    scaled so that nine tenths of the lengths are covered at most once, what stays over is for the rounding.
+    A length's price starts as the share of a sequence it takes to the power ``dear``, so long pieces are covered while there
+    are short ones to go with them, and falls exponentially with the share of its demand that is covered. Each round buys
+    the dearest configuration for the demand of its scarcest length; scaled so that nine tenths of the lengths are covered
+    at most once, what stays over is for the rounding.
     """
     lengths = np.array(sorted(demand))
     d = np.array([demand[x] for x in lengths], float)
     covered, found = np.zeros(len(d)), {}
     for _ in range(rounds):
         price = np.zeros(capacity + 1)
-        price[lengths] = lengths / capacity * np.exp(-eta * (covered - covered.mean()))
+        price[lengths] = (lengths / capacity) ** dear * np.exp(-eta * (covered - covered.mean()))
         config = best_knapsack(price, capacity)
         at = np.searchsorted(lengths, list(config))
         m = np.array(list(config.values()), float)
-        amount = (d[at] / m).min() * step
+        amount = (d[at] / m).min()
         covered[at] += amount * m / d[at]
         key = tuple(sorted(config.items()))
         found[key] = found.get(key, 0.0) + amount
@@ -70,29 +76,40 @@ def fractional_cover(demand: dict[int, int], capacity: int, rounds: int = 3000,
     return [(dict(k), x * scale) for k, x in found.items()]
 
 
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best fit decreasing: each item to the fullest bin that holds it."""
-    bins, free, mask = [], [[] for _ in range(capacity + 1)], 0
-    for x in sorted(items, reverse=True):
-        if room := mask >> x:
-            r = x + (room & -room).bit_length() - 1
-            b = free[r].pop()
-            if not free[r]:
-                mask &= ~(1 << r)
-        else:
-            b, r = len(bins), capacity
-            bins.append([])
-        bins[b].append(x)
-        free[r - x].append(b)
-        mask |= 1 << (r - x)
-    return bins
-
+Pattern = tuple[tuple[int, int], ...]
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rest: int = 100_000) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Length histogram -> [(configuration as (length, how often) pairs, number of sequences)]; uses each piece exactly once.
 
-    The program is solved and rounded down, then again over what is left, until at most ``rest`` pieces remain for best
-    fit or a solution rounds to nothing: driver work does not grow with the number of pieces.
+def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
+    """Best fit decreasing, all bins of one content at a time: {pattern of (length, how often): bins}. A length fills the fullest bins that hold it."""
+    free: dict[int, dict[Pattern, int]] = {capacity: {}}
+    out: Counter = Counter()
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        while n > 0:
+            room = min((r for r, bins in free.items() if r >= x and bins), default=None)
+            if room is None:
+                room, pattern, bins = capacity, (), n
+            else:
+                pattern, bins = free[room].popitem()
+            each = min(room // x, n)
+            used = min(bins, n // each)
+            if bins > used and pattern:
+                free[room][pattern] = bins - used
+            after = free.setdefault(room - each * x, {})
+            grown = (*pattern, (x, each))
+            after[grown] = after.get(grown, 0) + used
+            n -= each * used
+    for bins in free.values():
+        for pattern, n in bins.items():
+            out[pattern] += n
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Pattern, int]], int]:
+    """Length histogram -> [(configuration as (length, how often) pairs, number of sequences)], each piece used exactly once; and how many sequences best fit made.
+
+    The program's configurations that leave at most a 512th of a sequence empty are rounded, those with the longest piece
+    first, as long as their pieces last. Then the program is solved for what is left, until a solution places less than a quarter of it.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
     if any(k > capacity or k < 1 for k in left):
@@ -102,20 +119,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rest: int = 100_00
         out[((capacity, 1),)] += full
     while left:
         before = sum(left.values())
-        share = 1.0 if before > rest else 0.25  # few pieces: best fit closes the last gaps better with more to choose from
-        for config, x in fractional_cover(left, capacity):
-            n = min(int(x * share), *(left.get(k, 0) // m for k, m in config.items()))
+        found = [(config, x) for config, x in fractional_cover(left, capacity) if sum(k * m for k, m in config.items()) >= capacity - capacity // 512]
+        for config, x in sorted(found, key=lambda f: (-max(f[0]), -f[1])):
+            n = min(max(1, round(x)), *(left.get(k, 0) // m for k, m in config.items()))
             if n > 0:
                 out[tuple(sorted(config.items(), reverse=True))] += n
                 for k, m in config.items():
                     left[k] -= n * m
                     if not left[k]:
                         del left[k]
-        if (now := sum(left.values())) <= rest or now > 0.98 * before:
+        if 4 * sum(left.values()) > 3 * before:
             break
-    for b in best_fit([k for k, n in left.items() for _ in range(n)], capacity):
-        out[tuple(sorted(Counter(b).items(), reverse=True))] += 1
-    return list(out.items())
+    rest = best_fit(left, capacity)
+    return list((out + rest).items()), rest.total()
 
 
 def slots(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,113 +150,143 @@ def slots(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int,
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in out.items()}
 
 
-def pack(ws: Workspace, pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to every row of ``pieces`` (lengths 1..capacity, stable columns: a written table).
+def pack(ws: Workspace, pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to every row of ``pieces`` (``length``: 1..capacity), which are written first.
 
-    A row's rank within its length is a rank within (length, bucket) plus the rows of earlier buckets, so a length that
-    many rows share is spread over all tasks. What is collected and broadcast is bounded by capacity and buckets.
+    Every row gets a number of its own. A piece of full length is a sequence by itself and takes that number, so it is not
+    shuffled. The others are ranked within their length: a length is cut into buckets of about ``bucket_rows`` rows (more
+    if MAX_BUCKETS would not do), and a rank is one within the bucket plus the rows of earlier buckets; so neither a length
+    that many rows share nor a row that repeats is one task's work. Collected and broadcast are the histogram and at most
+    MAX_BUCKETS + ``capacity`` bucket sizes.
     """
-    buckets = max(16, min(256, shuffle_parts(pieces.sparkSession)))
-    ordered = [c for c in pieces.columns]
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*ordered), F.lit(buckets)))
-    counts = rows.groupBy(length_col, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    counted = [(r[0], r[1], r[2]) for r in counts.collect()]
-    histogram: Counter = Counter()
-    first: dict[tuple[int, int], int] = {}
-    for length, bucket, n in sorted(counted):
-        first[length, bucket] = histogram[length]
-        histogram[length] += n
-    shared = pieces.sparkSession.sparkContext.broadcast((slots(plan(dict(histogram), capacity)), first))
-    w = Window.partitionBy(length_col, "_bucket").orderBy(*ordered)
-    ranked = rows.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
+    spark = pieces.sparkSession
+    names = pieces.columns
+    rows = ws.keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect()}
+    whole = rows.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = {k: n for k, n in histogram.items() if k != capacity}
+    if not rest:
+        return whole
+    most = max(bucket_rows, -(-sum(rest.values()) // MAX_BUCKETS))
+    cut = small_table(spark, [(k, -(-n // most)) for k, n in rest.items()], "length bigint, _buckets bigint")
+    part = rows.where(F.col("length") != capacity).join(F.broadcast(cut), "length")
+    part = part.withColumn("_bucket", F.col("length") * (1 << 32) + F.pmod(F.xxhash64("_row"), F.col("_buckets")))
+    sizes = part.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    bucket, size = (sizes.column(c).to_numpy() for c in ("_bucket", "n"))
+    order = np.argsort(bucket)
+    bucket, size = bucket[order], size[order]
+    before = np.cumsum(size) - size
+    first = before - before[np.searchsorted(bucket, bucket >> 32 << 32)]  # rows of the length's earlier buckets
+    shared = spark.sparkContext.broadcast((slots(plan(rest, capacity)[0]), bucket, first))
+    ranked = part.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_row")).cast("long") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, before = shared.value
+        where, buckets, starts = shared.value
         for b in batches:
-            length, bucket, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in (length_col, "_bucket", "_rank"))
+            length, own, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_bucket", "_rank"))
+            rank = rank + starts[np.searchsorted(buckets, own)] if len(rank) else rank
             seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            group = length.astype(np.int64) * buckets + bucket
-            order = np.argsort(group, kind="stable")
-            for i in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                if not len(i):
-                    continue
-                ranks, seqs, offs = where[int(length[i[0]])]
-                r = rank[i] + before[int(length[i[0]]), int(bucket[i[0]])]
-                k = np.searchsorted(ranks, r, "right") - 1
-                seq[i], off[i] = seqs[k] + r - ranks[k], offs[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seq), pa.array(off)], names=[*ordered, "sequence_id", "offset"])
+            order = np.argsort(length, kind="stable")
+            for i in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if len(i):
+                    ranks, seqs, offs = where[int(length[i[0]])]
+                    k = np.searchsorted(ranks, rank[i], "right") - 1
+                    seq[i], off[i] = seqs[k] + rank[i] - ranks[k], offs[k]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*ordered, "_bucket", "_rank").mapInArrow(place, f"{kind}, sequence_id long, offset long")
+    placed = ranked.select(*names, "_bucket", "_rank").mapInArrow(place, f"{kind}, sequence_id long, offset long")
+    return placed.union(whole)
 
 
 class Encoder:
-    """Ids of the byte-level BPE vocabulary file, in the faster of the two libraries that read it (their ids are equal; tests compare them).
+    """Ids of a byte-level BPE vocabulary file, by ``tokenizers``; what was encoded once is remembered, up to ``keep`` entries.
 
-    As with the other library's defaults, the end-of-text string inside a text is its special id. Where the faster one's
-    pattern engine gives up, the other encodes the text.
+    A blank before a character that is no white space always begins a new pre-token, so a text is cut there and the
+    parts, which recur, are encoded on their own (all new ones of a batch in one call, parted again by the tokens'
+    byte lengths). Texts that hold a special token's string are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, json_path: str, pattern: str):
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END_TEXT: len(ranks)})
-        self.json_path, self.slow = json_path, None
-
-    def __call__(self, text: str) -> np.ndarray:
-        try:
-            return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
-        except (ValueError, RuntimeError):  # the pattern engine gives up on very long runs of one kind
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.json_path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def __init__(self, path: str, keep: int = 1 << 18):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are the parallelism
+        self.whole, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.parts = re.compile(r" (?=\S)").split
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        raw = self._ids(" " + " ".join(parts))
+        ends = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
+        wanted = np.cumsum([len(p.encode()) + 1 for p in parts])
+        at = np.searchsorted(ends, wanted)
+        if len(self.known) + len(parts) > self.keep:
+            self.known = {}
+        a = 0
+        for part, z in zip(parts, (4 * (at + 1)).tolist(), strict=True):
+            self.known[part], a = raw[a:z], z
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(np.frombuffer(self._ids(text), "<u4"))
+                continue
+            first, *rest = self.parts(text)
+            got = list(map(self.known.get, rest))
+            if None in got:
+                self._learn(list({p for p, g in zip(rest, got, strict=True) if g is None}))
+                got = [g if g is not None else self.known[p] for p, g in zip(rest, got, strict=True)]
+            out.append(np.frombuffer(self._ids(first) + b"".join(got), "<u4"))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(ranks: str | None, vocabulary: str | None) -> Encoder:
+def _encoder(vocabulary: str | None) -> Encoder:
     import public_tokenizers as P
 
-    key = f"{ranks}|{vocabulary}"
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks or P.path("byte_bpe_50k.tiktoken"), vocabulary or P.path("byte_bpe_50k.json"), P.PATTERN)
-    return _ENCODERS[key]
+    path = vocabulary or P.path("byte_bpe_50k.json")
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, vocabulary_path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids plus the end id; the first piece takes the odd length."""
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path, vocabulary_path)
+        encode = _encoder(vocabulary_path)
         for whole in batches:
             for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+                out: dict[str, list] = {k: [] for k in kinds}
+                for doc, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     first = (len(ids) - 1) % capacity + 1
-                    for k, (a, z) in enumerate((a, z) for a, z in zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity), strict=True)):
-                        for c, v in zip(out, (doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())), strict=True):
+                    starts = [0, *range(first, len(ids), capacity)]
+                    for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                        for c, v in zip(out.values(), (doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())), strict=True):
                             c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds.values(), strict=True)], names=list(kinds))
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, vocabulary_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None) -> DataFrame:
     """All documents' pieces with the sequence and the place each goes to.
 
     Null and empty texts have one piece, the end id. Repeated rows are packed each for itself. Very long texts are cut
     into pieces of ``capacity``. Other columns are ignored. No rows: no rows.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    pieces = ws.keep(token_pieces(docs, capacity, ranks_path, vocabulary_path), "pieces")
-    return pack(ws, pieces, capacity)
+    return pack(ws, token_pieces(docs, capacity, vocabulary_path), capacity)
