@@ -296,7 +296,7 @@ def brute_scores(tokens, out):
     def parts(h, x, less):
         level = pair[h, x].bit_length()
         p = max(min(1 << level - 1 if level else 0, single[h], single[x]) - less, 0)
-        p = p if min(single[h], single[x]) - less > 1 else 0
+        p = p if min(single[h], single[x]) - less >= 4 else 0
         return single[h] - less, p / (single[h] - less + 0.01), (single[x] - less + 1) / (n - less + v + 1)
 
     by: dict = {}
@@ -426,6 +426,34 @@ def test_wrappers_and_open_head_lose_nothing():
     assert htmltext.main_text(f"<body><article><p>{text}</p><p>a <span class=ad>buy</span> b</p></article><div class=related><article><p>{text}</p></article></div></body>") == f"{text} a b"
 
 
+def test_the_ratio_finds_the_region():
+    """Boxes without any name that tells: what the ratio says decides; with all lines taken for dense, the boxes are read as content."""
+    text = LONG.strip()
+    side = "".join(f"<div><a href=x>{w}</a> <a href=y>{w} too</a></div>" for w in ("one", "two", "three", "four", "five", "six"))
+    page = f"<body><div class=a><div>{side}</div></div><div class=b><h2>Title</h2><p>{text}</p><p>Short.</p><p>{text}</p><p>{text}</p></div><div class=c>{side}<p>all rights</p></div></body>"
+    assert htmltext.main_text(page) == f"Title {text} Short. {text} {text}"
+    every = lambda chars, tags: np.ones(len(chars), bool)
+    assert htmltext.main_text(page, every) != htmltext.main_text(page) and "one too" in htmltext.main_text(page, every)
+    two = f"<body><article><p>{text}</p></article><article><a href=x>read</a> <a href=y>next</a></article>" + side + "</body>"
+    assert htmltext.main_text(two) == text != htmltext.main_text(two, every)
+
+
+def test_pages_with_articles_named_div_are_read_alike():
+    """The fixture pages give the same text when their articles are plain boxes, so names alone do not find it."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    same = sum(htmltext.main_text(h) == htmltext.main_text(re.sub(r"(</?)article", r"\1div", h)) for h in pages)
+    assert same == len(pages)
+
+
+def test_very_long_and_deep_pages():
+    deep = "<b>" * 50_000 + "text " * 50_000
+    assert htmltext.main_text(f"<article>{deep}</article>") == " ".join(["text"] * 50_000)
+    many = "".join(f"<div><p>{LONG}</p>" for _ in range(3000))
+    assert len(htmltext.main_text(f"<body>{many}</body>")) == 3000 * len(LONG.strip()) + 2999
+
+
 def test_extract_table(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>é x</p></article>", "z"), (1, "u", "<article><p>é x</p></article>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, htmltext.extract(p).collect())) == sorted(["Row(page_id=1, url='u', text='é x', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
