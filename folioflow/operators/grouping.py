@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,84 +12,54 @@ from pyspark.sql import functions as F
 from folioflow.lexicon import HEADER, STRICT, Lexicon
 
 
-class _Packer:
-    """The greedy rule for one document at a time; hands out (place, group) as groups close."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.begin()
-
-    def begin(self):
-        self.group, self.run, self.label, self.path, self.number, self.done = [], [], None, None, 0, []
-
-    def close(self):
-        if self.group:
-            self.done += [(x, self.number) for x in self.group]
-            self.number += 1
-            self.group = []
-
-    def settle(self):
-        """The run of one label joins the group, a new one if it would not fit."""
-        if self.group and len(self.group) + len(self.run) > self.size:
-            self.close()
-        self.group += self.run
-        self.run = []
-
-    def add(self, place: int, path: str | None, label: str):
-        if self.path is not None and path != self.path:
-            self.settle_run()
-            self.close()
-        self.path = path
-        if label and label == self.label:
-            self.run.append(place)
-        else:
-            self.settle_run()
-            self.label = label or None
-            (self.run if label else self.group).append(place)
-        if len(self.group) >= self.size:
-            self.close()
-
-    def settle_run(self):
-        if self.run:
-            self.settle()
-
-    def end(self):
-        self.settle_run()
-        self.close()
+def numbered(rows: Iterable[tuple[object, str | None, str, object]], size: int) -> Iterator[tuple[object, object, int]]:
+    """(doc, path, label, place) in reading order -> (doc, place, group): documents number their groups from 0.
+
+    The unit is a run of one label within a section, or one row without a label; units are never split. A group is full
+    with ``size`` rows: then the next unit opens another, but a row without a label still joins the run before it.
+    """
+    number = held = 0
+    section: object = None
+    alone = itertools.count()
+    for (doc, path, label, _), run in itertools.groupby(rows, lambda r: (r[0], r[1], r[2], None if r[2] else next(alone))):
+        places = [r[3] for r in run]
+        if section is None or section[0] != doc:
+            number = held = 0
+        elif section[1] != path and held:
+            number, held = number + 1, 0
+        section = (doc, path)
+        if label and held and (held >= size or held + len(places) > size):
+            number, held = number + 1, 0
+        for place in places:
+            yield doc, place, number
+        held += len(places)
+        if not label and held >= size:
+            number, held = number + 1, 0
 
 
 def with_parent_group(chunks: DataFrame, lex: Lexicon = STRICT) -> DataFrame:
     """Adds parent_group ("0", "1", .. per document) to all chunks but headers, which leave.
 
     The rule is a fold, which no window expresses. Rows go to their document's partition in reading order, and four
-    narrow columns pass through it as a stream: memory holds one open group, not a document.
+    narrow columns pass through it as a stream: memory holds one run of a label, not a document.
     """
     body = chunks.where(F.col("block_type") != HEADER)
     kind = chunks.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, doc, started = _Packer(lex.group_size), None, False
-
-        def out(doc, done):
-            return pa.RecordBatch.from_arrays([pa.array([doc] * len(done), doc_type), pa.array([s for s, _ in done], pa.int32()), pa.array([str(g) for _, g in done], pa.string())], names=["doc_id", "seq", "parent_group"])
-
-        for b in batches:
-            doc_type = b.column(0).type
-            for d, s, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if started and d != doc:
-                    packer.end()
-                    if packer.done:
-                        yield out(doc, packer.done)
-                    packer.begin()
-                doc, started = d, True
-                packer.add(s, p, (c or "").strip())
-                if len(packer.done) >= 4096:
-                    yield out(doc, packer.done)
-                    packer.done = []
-        if started:
-            packer.end()
-            if packer.done:
-                yield out(doc, packer.done)
+        doc_type = pa.null()
+
+        def rows():
+            nonlocal doc_type
+            for b in batches:
+                doc_type = b.column(0).type
+                for d, s, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    yield d, p, (c or "").strip(), s
+
+        placed = numbered(rows(), lex.group_size)
+        while part := list(itertools.islice(placed, 4096)):
+            docs, seqs, groups = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.array(seqs, pa.int32()), pa.array([str(g) for g in groups], pa.string())], names=["doc_id", "seq", "parent_group"])
 
     ordered = body.select("doc_id", F.col("seq").cast("int").alias("seq"), "section_path", "content_label").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
     groups = ordered.mapInArrow(run, f"doc_id {kind}, seq int, parent_group string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Kinds of labelled passages; what ends one.
 KINDS = "определение|теорема|лемма|аксиома|следствие|утверждение|замечание|пример|алгоритм|задача|свойство|доказательство"
 STOPS = "доказательство|заметим|покажем|таким образом|следовательно|отсюда|действительно|вернёмся|перейдём|рассмотрим|во многих|многие"
 
@@ -58,37 +59,26 @@ def labels(rows):
 
 
 def packed(rows, size=10):
-    """[(path, label)] -> group numbers: units of one label are never split; a list of closed groups is filled greedily."""
-    groups, cur, run, run_label, last = [], [], [], None, None
-
-    def join():
-        nonlocal cur, run
-        if run:
-            if cur and len(cur) + len(run) > size:
-                groups.append(cur)
-                cur = []
-            cur, run = cur + run, []
-
-    for i, (path, label) in enumerate(rows):
-        if last is not None and path != last:
-            join()
-            if cur:
-                groups.append(cur)
-                cur = []
-        last = path
-        if label and label == run_label:
-            run.append(i)
-        else:
-            join()
-            run_label = label or None
-            if label:
-                run = [i]
-            else:
-                cur = cur + [i]
-        if len(cur) >= size:
-            groups.append(cur)
-            cur = []
-    join()
-    if cur:
-        groups.append(cur)
-    return [g for i in range(len(rows)) for g, members in enumerate(groups) if i in members]
+    """[(path, label)] -> group numbers. Sections are cut apart first; in each, cut points follow from the lengths of its label runs."""
+    out, number, at = [], 0, 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0] == rows[at][0]:
+            end += 1
+        labels_ = [label for _, label in rows[at:end]]
+        fill, i = 0, 0
+        while i < len(labels_):
+            n = 1
+            while labels_[i] and i + n < len(labels_) and labels_[i + n] == labels_[i]:
+                n += 1
+            full_before_run = fill >= size or fill + n > size
+            if labels_[i] and fill and full_before_run:
+                number, fill = number + 1, 0
+            out += [number] * n
+            fill += n
+            if not labels_[i] and fill >= size:
+                number, fill = number + 1, 0
+            i += n
+        number += fill > 0
+        at = end
+    return out

@@ -64,11 +64,9 @@ def test_paths_labels_groups_against_sequential_models(spark, random_docs):
 
 @pytest.mark.parametrize(("units", "sizes"), [([("", 25)], [10, 10, 5]), ([("", 3), ("A", 7), ("", 1)], [11]), ([("", 9), ("A", 7), ("", 1)], [9, 8]), ([("A", 14)], [14])])
 def test_group_sizes(units, sizes):
-    p = grouping._Packer(10)
-    for i, label in enumerate(x for label, n in units for x in [label] * n):
-        p.add(i, "", label)
-    p.end()
-    assert [sum(g == k for _, g in p.done) for k in range(len(sizes))] == sizes
+    labels_ = [label for label, n in units for _ in range(n)]
+    got = [g for _, _, g in grouping.numbered(((1, "", label, i) for i, label in enumerate(labels_)), 10)]
+    assert [got.count(k) for k in range(len(sizes))] == sizes
 
 
 def test_golden_paths(spark):
@@ -138,7 +136,7 @@ def test_latex_goldens():
     assert latex.dollars("$$a$$ и (b") == "$a$ и (b"
     assert latex.dollars("(см. $x_1$) тут") == "(см. $x_1$) тут"
     assert latex.united([(5, 6), (0, 2), (2, 4)]) == [(0, 4), (5, 6)]
-    assert latex.bracket_states("(]") == {1, -1, 0}
+    assert latex.Depths("(]{").states() == [1, -1, 1] and latex.closed("a(b)c", 2, 4) == (1, 4)
     assert latex.well_formed(r"\begin{a}{x}\end{a}") and not latex.well_formed("{x") and not latex.well_formed(r"\begin{a}\end{b}") and not latex.well_formed(r"\left( x") and latex.well_formed(r"\leftarrow \{")
 
 
