@@ -88,8 +88,8 @@ def parent_chunks(grouped: DataFrame) -> DataFrame:
 
 
 def chunk_stats(annotated: DataFrame, grouped: DataFrame) -> DataFrame:
-    """doc_id, total_chunks, total_parent_chunks, total_final_chunks, unresolved_refs."""
-    base = annotated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_chunks"))
-    per = grouped.groupBy("doc_id").agg(F.countDistinct("parent_group").alias("total_parent_chunks"), F.count(F.lit(1)).alias("total_final_chunks"), F.sum(F.size("unresolved_refs")).alias("unresolved_refs"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return base.join(per, "doc_id", "left").select("doc_id", "total_chunks", *map(zero, ("total_parent_chunks", "total_final_chunks", "unresolved_refs")))
+    """doc_id, total_chunks, total_parent_chunks, total_final_chunks, unresolved_refs: one aggregation over both, narrow."""
+    none = lambda kind: F.lit(None).cast(kind)
+    both = annotated.select("doc_id", F.lit(1).alias("c"), none("string").alias("g"), none("int").alias("u")).union(grouped.select("doc_id", none("int"), "parent_group", F.size("unresolved_refs")))
+    per = both.groupBy("doc_id").agg(F.count("c").alias("total_chunks"), F.countDistinct("g").alias("total_parent_chunks"), F.count("g").alias("total_final_chunks"), F.coalesce(F.sum("u"), F.lit(0)).alias("unresolved_refs"))
+    return per

@@ -33,13 +33,17 @@ def unresolved(refs: DataFrame, found_anchors: DataFrame) -> DataFrame:
 
 
 def with_links(labelled: DataFrame, lex: Lexicon = STRICT) -> DataFrame:
-    """Adds linked_chunks (label -> chunk ids) and unresolved_refs (first occurrence first) in one join of references with anchors."""
-    refs = first_references(extract_references(labelled, lex)).join(anchors(labelled), ["doc_id", "label"], "left")
-    entry = F.struct("pos", "label", "chunk_ids")
-    per_chunk = refs.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(entry), lambda a, b: a["pos"] - b["pos"]).alias("_refs"))
-    none = F.expr("cast(array() as array<struct<pos:int,label:string,chunk_ids:array<string>>>)")
-    rows = labelled.join(per_chunk, ["doc_id", "seq"], "left").withColumn("_refs", F.coalesce("_refs", none))
+    """Adds linked_chunks (label -> chunk ids) and unresolved_refs (first occurrence first).
+
+    A row's references are an array of its own; only they, exploded, meet the anchors, and come back as one narrow row a chunk.
+    """
+    own = F.array_distinct(F.filter(T.references(F.col("text"), lex), lambda x: x != F.col("content_label")))
+    asked = labelled.select("doc_id", "seq", F.posexplode(own).alias("pos", "label"))
+    met = asked.join(anchors(labelled), ["doc_id", "label"], "left")
+    found = met.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "chunk_ids")), lambda a, b: a["pos"] - b["pos"]).alias("_refs"))
     known = F.filter("_refs", lambda x: x["chunk_ids"].isNotNull())
     links = F.map_from_entries(F.transform(known, lambda x: F.struct(x["label"], x["chunk_ids"])))
     missing = F.transform(F.filter("_refs", lambda x: x["chunk_ids"].isNull()), lambda x: x["label"])
+    none = F.expr("cast(array() as array<struct<pos:int,label:string,chunk_ids:array<string>>>)")
+    rows = labelled.join(found, ["doc_id", "seq"], "left").withColumn("_refs", F.coalesce("_refs", none))
     return rows.withColumns({"linked_chunks": links, "unresolved_refs": missing}).drop("_refs")

@@ -10,19 +10,19 @@ from folioflow.lexicon import HEADER
 
 from .blocks import reading_order
 
-MAX_DEPTH = 8
+MAX_DEPTH = 10
 
 
 def with_section_path(chunks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Adds section_path (titles joined by ``" > "``, else empty); headers without a number become Text.
 
     A header of depth d takes all deeper or equal ones off the stack. So the header last seen at depth d is on the stack
-    exactly if it stands after the last ones of all lesser depths. Depths over ``max_depth`` stop the job rather than
-    give wrong paths.
+    exactly if it stands after the last ones of all lesser depths. Headers with more parts than ``max_depth`` count as that
+    deep: they replace one another at the end of the path.
     """
     head = (F.col("block_type") == HEADER) & T.is_section(F.col("text"))
     depth = F.when(head, F.size(T.section_key(F.col("text"))))
-    depth = F.when(depth > max_depth, F.raise_error(F.lit(f"a section number has over {max_depth} parts")).cast("int")).otherwise(depth)
+    depth = F.when(depth > max_depth, max_depth).otherwise(depth)
     w = reading_order().rowsBetween(Window.unboundedPreceding, 0)
     rows = chunks.withColumns({"_depth": depth, "_title": F.when(head, T.section_title(F.col("text")))})
     last = {f"_h{d}": F.last(F.when(F.col("_depth") == d, F.struct(F.col("seq").alias("at"), F.col("_title").alias("title"))), ignorenulls=True).over(w) for d in range(1, max_depth + 1)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.lexicon import FIGURE_GROUPS
+from folioflow.sources.stages import staged
 
 RECORD = ("id", "page", "bbox", "text", "section_path", "file_name", "search_text", "type", "parent_group_id", "external_links", "internal_links")
 
@@ -108,13 +109,25 @@ def hashing_embedder(dim: int = 384) -> Callable[[list[str]], list[list[float]]]
     return run
 
 
-def sparse_terms(documents: DataFrame, key: str = "id", content: str = "page_content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, term, tf, weight: BM25 term weights, the frequent words' idf included. Terms are joined, never broadcast; the mean length is one aggregate."""
+def sparse_terms(documents: DataFrame, key: str = "id", content: str = "page_content", k1: float = 1.2, b: float = 0.75, frequent: int = 1 << 16) -> DataFrame:
+    """key, term, tf, weight: BM25 term weights, the frequent words' idf included.
+
+    Texts are cut into words once: term frequencies are a stage table that document frequencies and totals are read from.
+    Terms in at least one in ``frequent`` of its rows (there are at most ``frequent`` such) are broadcast, so that no common
+    term's rows meet in one task; the others are joined.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
     docs = documents.select(F.col(key).alias("key"), words.alias("words"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
-    tf = docs.select("key", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, mean = totals.first()
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return tf.join(df, "term").select(F.col("key").alias(key), "term", "tf", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))).alias("weight"))
+    filled = F.when(F.size("words") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("words"))  # a text without words still counts as one
+    tf = docs.select("key", F.size("words").alias("len"), F.explode(filled).alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = staged(tf, "terms")
+    one = F.when(F.col("term").isNull(), 1).otherwise(F.col("tf") / F.col("len"))  # the rows of a text sum to one
+    n, mean, rows = tf.agg(F.round(F.sum(one)).alias("n"), (F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))) / F.round(F.sum(one))).alias("mean"), F.count("term")).first()
+    df = tf.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    often = df.where(F.col("df") * frequent >= rows)
+    idf = F.log((F.lit(n or 0.0) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    named = tf.where("term is not null").join(F.broadcast(often.withColumnRenamed("df", "_often")), "term", "left")
+    common = named.where("_often is not null").withColumnRenamed("_often", "df")
+    rare = named.where("_often is null").drop("_often").join(df, "term")
+    weighed = lambda x: x.select(F.col("key").alias(key), "term", "tf", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))).alias("weight"))
+    return weighed(common.select("key", "len", "term", "tf", "df")).union(weighed(rare.select("key", "len", "term", "tf", "df")))

@@ -14,6 +14,7 @@ from folioflow.lexicon import INTENDED
 from folioflow.operators import blocks, grouping, labels, models, refs, sections, storage
 from folioflow.sources.derived import derived_blocks
 from folioflow.sources.files import upserted
+from folioflow.sources.stages import staged
 
 from . import document
 
@@ -46,12 +47,17 @@ def _labelled(spark, sf_dir):
     return labels.with_content_label(_sections(spark, sf_dir))
 
 
+def _labelled_stage(spark, sf_dir):
+    """For what reads labels more than once: written, as between the stages of a run."""
+    return staged(_labelled(spark, sf_dir), "labelled")
+
+
 def _linked(spark, sf_dir):
-    return refs.with_links(_labelled(spark, sf_dir))
+    return refs.with_links(_labelled_stage(spark, sf_dir))
 
 
 def _grouped(spark, sf_dir):
-    return grouping.with_parent_group(_linked(spark, sf_dir))
+    return staged(grouping.with_parent_group(_linked(spark, sf_dir)), "grouped")
 
 
 def _join(c: Column | str, sep: str = ",") -> Column:
@@ -130,13 +136,13 @@ def prj13_reference_nouns(spark, sf_dir):
 
 @query
 def jn1_resolved(spark, sf_dir):
-    x = _labelled(spark, sf_dir)
+    x = _labelled_stage(spark, sf_dir)
     return refs.resolved(refs.extract_references(x), labels.anchors(x)).select("doc_id", "seq", "chunk_id", "label", "pos", _join("chunk_ids").alias("chunk_ids"))
 
 
 @query
 def jn2_unresolved(spark, sf_dir):
-    x = _labelled(spark, sf_dir)
+    x = _labelled_stage(spark, sf_dir)
     return refs.unresolved(refs.extract_references(x), labels.anchors(x)).select("doc_id", "seq", "chunk_id", "label", "pos")
 
 
@@ -147,7 +153,7 @@ def agg2_linked_map(spark, sf_dir):
 
 @query
 def win5_parent_group(spark, sf_dir):
-    return grouping.with_parent_group(_labelled(spark, sf_dir)).select("doc_id", "seq", "chunk_id", "parent_group")
+    return grouping.with_parent_group(_labelled_stage(spark, sf_dir)).select("doc_id", "seq", "chunk_id", "parent_group")
 
 
 @query
@@ -159,7 +165,7 @@ def agg3_parent_chunks(spark, sf_dir):
 
 @query
 def agg11_chunk_stats(spark, sf_dir):
-    x = _linked(spark, sf_dir)
+    x = staged(_linked(spark, sf_dir).drop("text", "linked_chunks"), "linked")
     return grouping.chunk_stats(x, grouping.with_parent_group(x))
 
 
