@@ -586,13 +586,16 @@ def test_best_fit_in_bulk():
     assert packing.best_fit({600: 10**12}, 1024) == {((600, 1),): 10**12} and packing.plan({600: 10**12})[0] == [(((600, 1),), 10**12)]
 
 
-def test_encoder_gives_the_ids_of_whole_texts():
+def test_encoder_gives_the_ids_of_tokenizers():
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     r = random.Random(2)
-    whole, parts = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder(path("byte_bpe_50k.json"), keep=20)
+    whole, fast = Tokenizer.from_file(path("byte_bpe_50k.json")), packing._encoder()
     some = ["", "a", " a  b\n\nc", "é ß 漢字 🙂", "x" * 5000, "<|endoftext|> y", "a  <|endoftext|>b", "\x00\x7f", "1234567 it's", " ", "   ", " \n x", "a\u00a0 b \u2003c", "\x1c x \x1d", "tab\t end \n", "it's 'll  we've\r\n ok"]
     some += ["".join(r.choice(["a", "é", " ", "  ", "\n", "\t", "'s", "12", ".", "\u00a0", "\u3000", "漢", "\x85", "\u180e"]) for _ in range(r.randint(1, 60))) for _ in range(400)]
-    for x, got in zip(some, parts(some), strict=True):
-        assert whole.encode(x, add_special_tokens=False).ids == got.tolist(), repr(x)
+    for x in some:
+        assert whole.encode(x, add_special_tokens=False).ids == fast(x).tolist(), repr(x)
+    other = packing.Encoder(path("byte_bpe_50k.json"), r"\s+|\S")  # another pattern gives other ids: noticed at the first text
+    with pytest.raises(ValueError, match="differ"):
+        other("several words")
