@@ -1,63 +1,80 @@
-"""Outside models behind interfaces: page rasters, text repair, image description, with retries per chunk.
+"""Outside models behind interfaces: text repair and image description, with prompts, parameters and retries per chunk.
 
-A model is a picklable factory; every Python worker makes its own model once and feeds it whole Arrow batches of the
-rows that need work. Chunks do not depend on each other, so the rounds over remaining chunks of a sequential program
-become tries per row.
+A model is made by a picklable factory, which gets the options (name, temperature, ..) and the prompt; every Python worker
+makes its own once a task, feeds it whole Arrow batches of the rows that need work, and closes it. Chunks do not depend
+on each other, so the rounds over remaining chunks of a sequential program become tries per row.
 """
 
 from __future__ import annotations
 
+import inspect
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import answers, latex
 from folioflow.functions import text as T
+from folioflow.lexicon import IMAGE_BLOCKS, IMAGE_TYPES
 
 from .blocks import reading_order
 
+#: What the models are told. {format} is the form of the answer, {caption} and {context} are the chunk's.
+TEXT_PROMPT = (
+    "Перед тобой фрагмент страницы учебника. Перепиши его без изменений: те же слова, тот же порядок. Русские буквы оставь русскими, даже если они набраны курсивом. "
+    "Формулы и отдельные символы записывай в LaTeX, скобки — того же вида, что на изображении. Ответ: {format}"
+)
+IMAGE_PROMPT = (
+    "Перед тобой рисунок из учебника. Опиши его по-русски в нескольких предложениях: что это за рисунок, из чего он состоит, что на нём выделено и зачем он нужен. "
+    "Формулы записывай в LaTeX. Подпись: {caption}. Текст рядом: {context}. Ответ: {format}"
+)
+TEXT_FORMAT = '{"text": "..."}'
+IMAGE_FORMAT = '{"description": "...", "image_type": "...", "key_elements": ["..."]}'
+
 
 @dataclass(frozen=True)
 class ModelOptions:
+    """Handed to the factory as they are; ``tries`` in each of ``rounds`` bound the calls for one chunk."""
+
     name: str = "vision-model"
     temperature: float = 0.0
     repeat_penalty: float = 1.5
     max_tokens: int = 10_000
+    keep_alive: str = "60m"
     tries: int = 3
     rounds: int = 3
+    prompt: str | None = None
 
 
-@dataclass(frozen=True)
-class RasterOptions:
-    dpi: int = 150
-    max_width: int | None = 600
-    min_height: int | None = 32
-
-
-#: (pdf bytes, page, bbox, options) -> PNG bytes, or None
-Rasterizer = Callable[[bytes, int, list[float], RasterOptions], bytes | None]
 #: one chunk's inputs -> the model's raw answer
 AskText = Callable[[str, bytes | None], str]
 AskImage = Callable[[str, str, bytes | None], str]
 
 
-def with_rasters(chunks: DataFrame, files: DataFrame, rasterizer: Rasterizer, options: RasterOptions = RasterOptions()) -> DataFrame:
-    """Adds ``image`` (PNG; null if it failed) to chunks with ``page`` and ``bbox``. ``files``: doc_id, content (one row a document)."""
+def text_prompt(options: ModelOptions = ModelOptions()) -> str:
+    return (options.prompt or TEXT_PROMPT).replace("{format}", TEXT_FORMAT)
 
-    @F.pandas_udf("binary")
-    def cut(content: pd.Series, page: pd.Series, bbox: pd.Series) -> pd.Series:
-        def one(c, p, b):
-            try:
-                return rasterizer(c, int(p), list(b), options)
-            except Exception:  # a page that cannot be drawn fails its chunk alone
-                return None
 
-        return pd.Series([one(*x) for x in zip(content, page, bbox, strict=True)], dtype=object)
+def image_prompt(caption: Column, context: Column, options: ModelOptions = ModelOptions()) -> Column:
+    """The prompt for one image, as it is sent."""
+    out: Column = F.lit((options.prompt or IMAGE_PROMPT).replace("{format}", IMAGE_FORMAT))
+    for name, value in (("{caption}", caption), ("{context}", context)):
+        out = F.replace(out, F.lit(name), F.coalesce(value, F.lit("")))
+    return out
 
-    return chunks.join(files.select("doc_id", "content"), "doc_id", "left").withColumn("image", cut("content", "page", "bbox")).drop("content")
+
+def made(factory: Callable, options: ModelOptions, prompt: str):
+    """A factory's model: factories take (options, prompt), (options) or nothing."""
+    n = len([p for p in inspect.signature(factory).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty])
+    return factory(*(options, prompt)[:n])
+
+
+def parameters(options: ModelOptions) -> dict:
+    """What a factory gets, as plain values."""
+    return asdict(options)
 
 
 def _tried(ask: Callable[[], str], check: Callable[[str], bool], tries: int) -> str | None:
@@ -78,7 +95,7 @@ def repair_texts(chunks: DataFrame, make: Callable[[], AskText], options: ModelO
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = make()
+        model = made(make, options, text_prompt(options))
 
         def good(raw):
             got = answers.cleaned(raw)
@@ -87,6 +104,7 @@ def repair_texts(chunks: DataFrame, make: Callable[[], AskText], options: ModelO
         for text, picture in parts:
             out = [None if t is None else _tried(lambda t=t, p=p: model(t, p), good, options.tries * options.rounds) for t, p in zip(text, picture, strict=True)]
             yield pd.Series([None if x is None else _text(answers.cleaned(x)) for x in out], dtype=object)
+        getattr(model, "close", lambda: None)()
 
     todo = F.when(F.col("needs_work"), F.col("text"))  # null in, null out: rows without work cost no call
     rows = rows.withColumn("fixed_text", ask(todo, image))
@@ -94,8 +112,6 @@ def repair_texts(chunks: DataFrame, make: Callable[[], AskText], options: ModelO
 
 
 def _text(cleaned: str) -> str:
-    import json
-
     return json.loads(cleaned)["text"]
 
 
@@ -113,6 +129,40 @@ def with_image_context(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("context", F.concat(F.lit("До изображения:\n"), near(F.lag), F.lit("\nПосле изображения:\n"), near(F.lead)))
 
 
+def describe_images_in_order(chunks: DataFrame, make: Callable, options: ModelOptions = ModelOptions()) -> DataFrame:
+    """As ``describe_images``, but an image that directly follows a described one sees its new text as context: one document is one task.
+
+    The context of the n-th image of a row of adjacent images depends on the answer for the one before it, so nothing less than reading a document
+    in order gives it.
+    """
+    names = [f.name for f in chunks.schema.fields]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
+
+    def run(doc: pd.DataFrame) -> pd.DataFrame:
+        model = made(make, options, (options.prompt or IMAGE_PROMPT).replace("{format}", IMAGE_FORMAT))
+        doc = doc.sort_values("seq", kind="stable").reset_index(drop=True)
+        texts, need = [t or "" for t in doc["text"]], doc["block_type"].isin(IMAGE_BLOCKS).tolist()
+        was, done = list(texts), [False] * len(texts)
+        pictures = doc["image"].tolist() if "image" in names else [None] * len(texts)
+
+        def good(raw):
+            got = json.loads(answers.cleaned(raw) or "{}")
+            return 50 <= len(got.get("description", "")) <= 1200 and got.get("image_type") in IMAGE_TYPES and latex.formulas_ok(got["description"])
+
+        for i in [i for i, n in enumerate(need) if n]:
+            context = "До изображения:\n" + (texts[i - 1] if i else "") + "\nПосле изображения:\n" + (texts[i + 1] if i + 1 < len(texts) else "")
+            raw = _tried(lambda i=i, c=context: model(was[i], c, pictures[i]), good, options.tries * options.rounds)
+            if raw is not None:
+                got = json.loads(answers.cleaned(raw))
+                tail = f". Ключевые слова: {', '.join(got['key_elements'])}" if got["key_elements"] else ""
+                texts[i], done[i] = f"![{got['image_type']}][{was[i]}]({got['description']}{tail})", True
+        getattr(model, "close", lambda: None)()
+        doc["text"] = [t if d else w for t, d, w in zip(texts, done, doc["text"], strict=True)]
+        return doc.assign(needs_description=need, described=done)[[*names, "needs_description", "described"]]
+
+    return chunks.groupBy("doc_id").applyInPandas(run, f"{ddl}, needs_description boolean, described boolean")
+
+
 def describe_images(chunks: DataFrame, make: Callable[[], AskImage], options: ModelOptions = ModelOptions()) -> DataFrame:
     """Adds needs_description, described; the text of a described image becomes caption, type, description and key words."""
     rows = with_image_context(chunks).withColumn("needs_description", T.needs_image_work(F.col("block_type")))
@@ -120,15 +170,16 @@ def describe_images(chunks: DataFrame, make: Callable[[], AskImage], options: Mo
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = make()
+        model = made(make, options, (options.prompt or IMAGE_PROMPT).replace("{format}", IMAGE_FORMAT))
 
         def good(raw):
             got = answers.cleaned(raw)
-            return got is not None and '"description"' in got and latex.formulas_ok(__import__("json").loads(got)["description"])
+            return got is not None and '"description"' in got and latex.formulas_ok(json.loads(got)["description"])
 
         for caption, context, picture in parts:
             out = [None if t is None else _tried(lambda t=t, c=c, p=p: model(t, c, p), good, options.tries * options.rounds) for t, c, p in zip(caption, context, picture, strict=True)]
             yield pd.Series([None if x is None else answers.cleaned(x) for x in out], dtype=object)
+        getattr(model, "close", lambda: None)()
 
     got = F.from_json(ask(F.when(F.col("needs_description"), F.coalesce("text", F.lit(""))), F.col("context"), image), "description string, image_type string, key_elements array<string>")
     rows = rows.withColumn("_answer", got)

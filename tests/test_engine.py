@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import answers, latex, markup
 from folioflow.functions import text as T
 from folioflow.lexicon import INTENDED, STRICT
-from folioflow.operators import blocks, grouping, labels, models, refs, sections, storage
+from folioflow.operators import blocks, grouping, labels, layout, models, raster, refs, sections, storage
 from folioflow.plans.document import PlanOptions, annotate, plan
 from folioflow.sources import files
 from tests import models as M
@@ -191,11 +191,112 @@ def test_models_with_retries(spark):
     assert models.with_image_context(x).where("seq = 2").first()["context"] == "До изображения:\nпросто\nПосле изображения:\n\\beta"
 
 
+def drawn():
+    class Drawn:
+        """A stand-in for an opened file: pages are grey, a region is its size in pixels."""
+
+        def __init__(self, content):
+            if content == b"bad":
+                raise ValueError("unreadable")
+            self.grey = len(content)
+
+        def draw(self, page, bbox, zoom):
+            import math
+
+            import numpy as np
+
+            high, wide = (math.ceil(bbox[i + 2] * zoom - 1e-3) - math.floor(bbox[i] * zoom + 1e-3) for i in (1, 0))
+            return np.full((high, wide, 3), self.grey + page, np.uint8)
+
+    return Drawn
+
+
 def test_rasters_fail_alone(spark):
-    x = spark.createDataFrame([("a", "0", [0.0, 0.0, 1.0, 1.0]), ("a", "x", [0.0, 0.0, 1.0, 1.0])], "doc_id string, page string, bbox array<double>")
-    f = spark.createDataFrame([("a", bytearray(b"pdf"))], "doc_id string, content binary")
-    got = models.with_rasters(x, f, lambda c, p, b, o: c + str(o.dpi).encode()).orderBy("page").collect()
-    assert [r["image"] and bytes(r["image"]) for r in got] == [b"pdf150", None]
+    import struct
+
+    Drawn = drawn()  # made here, so that workers get the class itself
+    box = [0.0, 0.0, 400.0, 5.0]
+    x = spark.createDataFrame([("a", 0, "0", box), ("a", 1, "x", box), ("a", 2, "1", [10.0, 10.0, 20.0, 50.0]), ("b", 0, "0", box), ("c", 0, "0", box), ("a", 3, "0", None)], "doc_id string, seq int, page string, bbox array<double>")
+    f = spark.createDataFrame([("a", bytearray(b"pdf")), ("b", bytearray(b"bad"))], "doc_id string, content binary")
+    got = {(r["doc_id"], r["seq"]): r["image"] for r in raster.with_rasters(x, f, Drawn).collect()}
+    assert len(got) == 6 and [k for k, v in sorted(got.items()) if v] == [("a", 0), ("a", 2)]
+    size = lambda b: struct.unpack(">II", bytes(b)[16:24])
+    assert size(got["a", 0]) == (600, 32) and size(got["a", 2]) == (22, 85)
+    g = x.where("bbox is not null").select("doc_id", "seq", raster.geometry(F.col("bbox")).alias("g")).collect()
+    assert {(r["doc_id"], r["seq"]): (r["g"]["width"], r["g"]["height"]) for r in g if (r["doc_id"], r["seq"]) in (("a", 0), ("a", 2))} == {("a", 0): (600, 32), ("a", 2): (22, 85)}
+    whole = {r["seq"]: size(r["image"]) for r in raster.with_rasters(x.where("seq = 0 and doc_id = 'a'"), f, Drawn, raster.AS_DRAWN).collect()}
+    assert whole == {0: (834, 11)}
+    import zlib
+
+    import numpy as np
+
+    px = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    raw = raster.png(px)
+    at = raw.index(b"IDAT")
+    assert zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]]) == b"".join(b"\0" + r.tobytes() for r in px)
+    assert raster.finished(np.full((10, 1200, 3), 7, np.uint8), raster.RasterOptions()).shape == (32, 600, 3)
+
+
+def test_layout_scan(spark, tmp_path):
+    class Fake:
+        def __init__(self, options):
+            self.options = options
+
+        def blocks(self, content, name):
+            for i, line in enumerate(content.decode().split("\n")):
+                yield f"/page/{i}/Text/{i}", "Text", [0, 0, 1, 1], f"<p>{line}{'' if self.options.force_ocr else '!'}</p>"
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "один.pdf").write_bytes("x\ny".encode())
+    (tmp_path / "two.pdf").write_bytes(b"\xff")
+    (tmp_path / "three.txt").write_bytes(b"no")
+    docs = layout.read_documents(spark, str(tmp_path))
+    got = sorted((tuple(r) for r in layout.scan_layout(docs, Fake).select("doc_id", "seq", "page", "html").collect()), key=str)
+    assert got == sorted([("two", None, None, None), ("один", 0, "0", "<p>x</p>"), ("один", 1, "1", "<p>y</p>")], key=str)
+    assert "UnicodeDecodeError" in layout.scan_layout(docs, Fake).where("seq is null").first()["error"]
+
+
+def test_prompts_and_parameters_reach_the_model(spark):
+    x = chunks(spark, [[("Text", "\\alpha"), ("FigureGroup", "Рис. 1"), ("FigureGroup", "Рис. 2")]])
+    o = models.ModelOptions(name="m", temperature=0.5, max_tokens=7, prompt="p {format}")
+    told = models.repair_texts(x, lambda options, prompt: lambda text, image: '{"text": "' + f"{options.name} {options.temperature} {options.max_tokens} {prompt[:1]}" + '"}', o)
+    assert told.where("seq = 0").first()["text"] == "m 0.5 7 p"
+    assert models.text_prompt().endswith(models.TEXT_FORMAT)
+    shown = spark.range(1).select(models.image_prompt(F.lit("c"), F.lit("t"))).first()[0]
+    assert "Подпись: c. Текст рядом: t." in shown and "{" not in shown.replace(models.IMAGE_FORMAT, "")
+    answer = '{"description": "' + "д" * 60 + '", "image_type": "граф", "key_elements": []}'
+    seen = models.describe_images_in_order(x, lambda: lambda caption, context, image: answer if caption == "Рис. 1" or "![граф][Рис. 1]" in context else "no")
+    assert [r["described"] for r in seen.orderBy("seq").collect()] == [False, True, True]
+    plain = models.describe_images(x, lambda: lambda caption, context, image: answer if caption == "Рис. 1" or "![граф][Рис. 1]" in context else "no")
+    assert [r["described"] for r in plain.orderBy("seq").collect()] == [False, True, False]
+
+
+def test_run_store_and_clean_up(spark, tmp_path, random_docs):
+    from folioflow import logs
+    from folioflow.plans.document import StorageOptions, run, store
+
+    logs.set_up(tmp_path / "logs")
+    rows = [(d, i, k, "0", t) for d, doc in enumerate(random_docs[:10]) for i, (k, t) in enumerate(doc)]
+    s = run(spark.createDataFrame(rows, DDL), str(tmp_path / "out")).collect()
+    assert len(s) == 10 and all(r["layout_seconds"] > 0 and r["storage_seconds"] > 0 for r in s)
+    assert "storage took" in next((tmp_path / "logs").glob("*.log")).read_text()
+    logs.set_up()
+    parents = spark.read.parquet(str(tmp_path / "out" / "chunks"))
+    want = spark.read.parquet(str(tmp_path / "out" / "storage"))
+    for recreate in (False, False, True):
+        store(spark, StorageOptions(target=str(tmp_path / "t"), recreate=recreate), parents).collect()
+        got = spark.read.parquet(str(tmp_path / "t" / "current"))
+        assert sorted(r["id"] for r in got.select("id").collect()) == sorted(r["id"] for r in want.select("id").collect())
+    files.write_documents_json(parents.select("doc_id", F.col("id").cast("int").alias("seq"), *[c for c in parents.columns if c != "doc_id"]), str(tmp_path / "j"))
+    text = next((tmp_path / "j" / "doc_id=3").glob("part*")).read_text()
+    (tmp_path / "3_chunk_processed_json.txt").write_text(text)
+    back = files.unpacked_parents(files.read_parents(spark, str(tmp_path / "*_chunk_processed_json.txt"), "_chunk_processed_json.txt"))
+    flat = spark.read.parquet(str(tmp_path / "out" / "grouped")).where("doc_id = 3")
+    assert sorted((r["chunk_id"], r["parent_group"]) for r in back.collect()) == sorted((r["chunk_id"], r["parent_group"]) for r in flat.collect())
+    for name in ("chunk0-1_a.png", "chunk0-2_a.png", "chunk0-1_a_image.png", "chunk0-1_b.png"):
+        (tmp_path / name).write_bytes(b"x")
+    assert files.delete_images(spark, str(tmp_path), "a") == (2, []) and (tmp_path / "chunk0-1_a_image.png").exists() and (tmp_path / "chunk0-1_b.png").exists()
+    assert files.delete_images(spark, str(tmp_path), "a", described=True) == (1, [])
 
 
 def test_whole_plan_and_empty_input(spark, random_docs):
