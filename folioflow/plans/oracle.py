@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from folioflow.lexicon import EXTENDED_FORMS, LABEL_KINDS, REFERENCE_FORMS, REFERENCE_NOUNS, STOP_WORDS
+# Fixed values, stated here once more so that the SQL does not lean on the library's lists: kinds of labelled passages; what ends one;
+# word forms in references, the strict and the fuller ones; the noun that each stem stands for.
+LABEL_KINDS = ("определение", "теорема", "лемма", "аксиома", "следствие", "утверждение", "замечание", "пример", "алгоритм", "задача", "свойство", "доказательство")
+STOP_WORDS = ("доказательство", "заметим", "покажем", "таким образом", "следовательно", "отсюда", "действительно", "вернёмся", "перейдём", "рассмотрим", "во многих", "многие")
+REFERENCE_FORMS = (
+    "определени[иею]", "теорем[еаы]", "лемм[еаы]", "аксиом[еаы]", "следстви[иею]", "утвержден[ии]", "замечани[иею]", "примере?", "алгоритм[еа]", "задач[еи]", "свойств[еа]",
+    "доказательств[еа]", r"рис(?:унк[еа])?\.?",
+)
+EXTENDED_FORMS = (
+    "определени[иеюя]", "теорем[еаыу]", "лемм[еаыу]", "аксиом[еаыу]", "следстви[иеюя]", "утверждени[иеюя]", "замечани[иеюя]", "пример[ау]?е?", "алгоритм[еау]?", "задач[еиау]", "свойств[еау]",
+    "доказательств[еау]", r"рис(?:ун(?:ок|к[еау]))?\.?",
+)
+REFERENCE_NOUNS = (
+    ("определени", "Определение"), ("теорем", "Теорема"), ("лемм", "Лемма"), ("аксиом", "Аксиома"), ("следстви", "Следствие"), ("утвержден", "Утверждение"), ("замечани", "Замечание"), ("пример", "Пример"),
+    ("алгоритм", "Алгоритм"), ("задач", "Задача"), ("свойств", "Свойство"), ("доказательств", "Доказательство"), ("рис", "Рисунок"),
+)
 
 _CHAIN = {
     "blocks": """SELECT doc_id, seq, '/page/' || page || '/' || block_type || '/' || seq AS block_path, block_type, page, text FROM (
@@ -116,7 +131,6 @@ def _needs(text: str) -> str:
 
 
 _SENT = r"CASE seq % 7 WHEN 1 THEN text || ' \alpha' WHEN 2 THEN text || ' графG' WHEN 3 THEN text || ' $графG$' WHEN 4 THEN text || ' n-вершинный' ELSE text END"
-_TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace('$$ x $$ и $ y $ ' || text, '(?s)\$\$\s*(.*?)\s*\$\$', '$$\1$$', 'g'), '(?s)\$\s*(.*?)\s*\$', '$\1$', 'g'), '([^\n]) {2,}', '\1 ', 'g'), E' \t\r\n')"""
 _STATS0 = "SELECT doc_id, count(DISTINCT page) AS total_pages, (SELECT count(*) FROM parsed p WHERE p.doc_id = b.doc_id) AS total_chunks"
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,16 +167,14 @@ FROM grouped g GROUP BY g.doc_id, g.parent_group""", "grouped", "firsts", "ancho
     "jn7_split_links": _with("SELECT doc_id, seq, chunk_id, label, place, target, external FROM sided", "sided"),
     "fn12_stable_ids": _with(f"SELECT doc_id, chunk_id, {_CHUNK_ID} AS id, {_PARENT_ID} AS parent_group_id FROM grouped", "grouped"),
     "prj14_storage_records": _with(
-        f"""SELECT {_CHUNK_ID} AS id, page, CAST(NULL AS VARCHAR) AS bbox, text, section_path, CAST(doc_id AS VARCHAR) || '.pdf' AS file_name, {_SEARCH} AS search_text, CASE WHEN block_type IN ('PictureGroup', 'FigureGroup') THEN 'picture' ELSE 'text' END AS type, {_PARENT_ID} AS parent_group_id,
+        f"""SELECT {_CHUNK_ID} AS id, page, (seq * 0 + 0.5) || ',' || (seq + 0.5) || ',' || (seq * 2 + 0.5) || ',' || (seq * 3 + 0.5) AS bbox, text, section_path, CAST(doc_id AS VARCHAR) || '.pdf' AS file_name, {_SEARCH} AS search_text, CASE WHEN block_type IN ('PictureGroup', 'FigureGroup') THEN 'picture' ELSE 'text' END AS type, {_PARENT_ID} AS parent_group_id,
 {_SIDE.format(t=_TARGET_ID, x="external")} AS external_links, {_SIDE.format(t=_TARGET_ID, x="NOT external")} AS internal_links FROM grouped g""", "grouped", "sided"),
     "prj18_vector_documents": _with(f"SELECT {_CHUNK_ID} AS id, {_SEARCH} AS page_content, CASE WHEN block_type IN ('PictureGroup', 'FigureGroup') THEN 'picture' ELSE 'text' END AS type, section_path, {_PARENT_ID} AS parent_id, CAST(doc_id AS VARCHAR) AS file_name FROM grouped", "grouped"),
     "agg12_storage_stats": _with("SELECT CAST(doc_id AS VARCHAR) AS file_name, count(*) AS total_chunks FROM grouped GROUP BY doc_id", "grouped"),
-    "snk7_upsert": "SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN upper(c_name) ELSE c_name END AS name, c_nationkey AS nation FROM customer",
     "win4_image_context": _with(f"SELECT doc_id, seq, context FROM (SELECT *, 'До изображения:' || chr(10) || lag(text, 1, '') OVER w || chr(10) || 'После изображения:' || chr(10) || lead(text, 1, '') OVER w AS context FROM parsed WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) WHERE block_type IN {_PICTURES}", "parsed"),
     "flt5_needs_text_work": _with(f"SELECT doc_id, seq, {_needs('t')} AS needs_work FROM (SELECT *, {_SENT} AS t FROM parsed)", "parsed"),
     "flt6_needs_description": _with(f"SELECT doc_id, seq, block_type IN {_PICTURES} AS needs_description FROM parsed", "parsed"),
-    "fn3_tidy_delimiters": _with(f"SELECT doc_id, seq, {_TIDY} AS text FROM parsed", "parsed"),
-    "fn7_bracket_state": _with(
+        "fn7_bracket_state": _with(
         """SELECT doc_id, seq, CAST(CASE WHEN low < 0 THEN -1 WHEN now > 0 THEN 1 ELSE 0 END AS INTEGER) AS state FROM (SELECT doc_id, seq, min(s) AS low, arg_max(s, i) AS now FROM (
   SELECT doc_id, seq, i, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id, seq ORDER BY i) AS s FROM (
     SELECT doc_id, seq, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT doc_id, seq, CASE seq % 3 WHEN 0 THEN '(' WHEN 1 THEN ')' ELSE '' END || text AS t FROM parsed))) GROUP BY doc_id, seq)""", "parsed"),
@@ -172,10 +184,6 @@ FROM grouped g GROUP BY g.doc_id, g.parent_group""", "grouped", "firsts", "ancho
     "prj19_image_text": _with(f"SELECT doc_id, seq, '![граф][' || text || '](D' || CASE WHEN seq % 2 = 0 THEN '. Ключевые слова: a, b' ELSE '' END || ')' AS text FROM parsed WHERE block_type IN {_PICTURES}", "parsed"),
     "flt9_answer_check": "SELECT doc_id, coalesce(length(text) BETWEEN 50 AND 1200 AND doc_id % 2 = 0, false) AS valid FROM documents",
     "fn2_answer_text": _with("SELECT doc_id, seq, text FROM parsed", "parsed"),
-    "agg8_text_stats": _with(
-        f"""SELECT doc_id, count(*) FILTER (w) AS total_chunks_checked, count(*) FILTER (w) AS total_corrected, 0::BIGINT AS total_failed, '' AS failed_chunks FROM (SELECT doc_id, {_needs('t')} AS w FROM (SELECT *, {_FAKE_MARK} AS t FROM parsed)) GROUP BY doc_id""", "parsed"),
-    "agg9_image_stats": _with(f"SELECT doc_id, count(*) FILTER (block_type IN {_PICTURES}) AS total_images, count(*) FILTER (block_type IN {_PICTURES}) AS described_images, 0::BIGINT AS failed_images, '' AS failed_chunks FROM parsed GROUP BY doc_id", "parsed"),
-    "agg10_document_stats": _with(_STATS0 + ", 'done' AS marker_status, 'not done' AS text_status, 'not done' AS image_status, " + ", ".join(f"0::BIGINT AS {c}" for c in ("total_chunks_checked", "total_corrected", "total_failed", "total_images", "described_images", "failed_images")) + " FROM blocks b GROUP BY doc_id", "blocks", "parsed"),
     "agg13_remaining_work": _with(f"SELECT doc_id, count(*) FILTER (w) AS remaining, bool_and(NOT w) AS all_done FROM (SELECT doc_id, {_needs('t')} AS w FROM (SELECT *, {_FAKE_MARK} AS t FROM parsed)) GROUP BY doc_id", "parsed"),
     "src9_base64": "SELECT page_id, to_base64(encode(html)) AS base64 FROM pages",
     "mdl10_sparse_terms": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: w <> '') AS words FROM documents), c AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),

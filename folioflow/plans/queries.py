@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from folioflow.functions import answers, latex, markup
 from folioflow.functions import text as T
 from folioflow.lexicon import INTENDED
-from folioflow.operators import blocks, grouping, labels, models, refs, sections, storage
+from folioflow.operators import blocks, grouping, labels, layout, models, raster, refs, sections, storage
 from folioflow.sources.derived import derived_blocks
-from folioflow.sources.files import upserted
+from folioflow.sources.files import unpacked_parents, upserted
 from folioflow.sources.stages import staged
 
 from . import document
@@ -189,7 +189,8 @@ def fn12_stable_ids(spark, sf_dir):
 @query
 def prj14_storage_records(spark, sf_dir):
     """PRJ14 to PRJ17, JN3: the flat record, links rendered."""
-    r = storage.storage_records(_grouped(spark, sf_dir), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    boxed = _grouped(spark, sf_dir).withColumn("bbox", F.array(*(F.col("seq") * k + 0.5 for k in range(4))))
+    r = storage.storage_records(boxed, F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
     return r.withColumns({"bbox": _join(F.col("bbox").cast("array<string>")), "external_links": _render("external_links"), "internal_links": _render("internal_links")})
 
 
@@ -206,9 +207,68 @@ def agg12_storage_stats(spark, sf_dir):
 
 @query
 def snk7_upsert(spark, sf_dir):
-    """Customers replaced by their nation's view of them: new rows win, others stay."""
+    """Customers of some nations replaced, some added under new keys, all new rows sent twice: new rows win, others stay, each key once."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    return upserted(c, c.where(F.col("nation") < 5).withColumn("name", F.upper("name")))
+    added = c.where(F.col("nation") == 7).withColumn("id", F.col("id") + 10_000_000)
+    new = c.where(F.col("nation") < 5).withColumn("name", F.upper("name")).union(added)
+    return upserted(c, new.union(new))
+
+
+@query
+def src1_layout_scan(spark, sf_dir):
+    """SRC1 with a stand-in for the layout model: each line of a document's bytes is a block on a page of eight."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    b = layout.scan_layout(docs, _line_layout)
+    return b.select("doc_id", "seq", "block_path", "block_type", "page", _join(F.col("bbox").cast("array<int>").cast("array<string>")).alias("bbox"), "html")
+
+
+def _line_layout(options):
+    class Lines:
+        def blocks(self, content, name):
+            for i, line in enumerate(content.decode().split("\n")):
+                yield f"/page/{i // 8}/Text/{i}", "Text", [0, 12 * i, 500, 12 * i + 10], f"<p>{line}</p>" if options.force_ocr else line
+
+    return Lines()
+
+
+@query
+def src5_parent_scan(spark, sf_dir):
+    """Nested parents read back to chunks."""
+    return unpacked_parents(grouping.parent_chunks(_grouped(spark, sf_dir))).select("doc_id", "seq", "chunk_id", "block_type", "parent_group", "section_path", _render("linked_chunks").alias("linked_chunks"))
+
+
+def _boxed(spark, sf_dir):
+    s = F.col("seq")
+    x, y = s % 7 * 10.5, s * 3 % 500 + 0.25
+    return _parsed(spark, sf_dir).withColumn("bbox", F.array(x, y, x + 50 + s * 37 % 600, y + 5 + s % 60))
+
+
+@query
+def src6_region_rasters(spark, sf_dir):
+    """Pixels of each region: scaled, at most 600 wide, padded to 32."""
+    return _boxed(spark, sf_dir).select("doc_id", "seq", raster.image_name(F.col("doc_id"), F.col("chunk_id")).alias("file"), raster.geometry(F.col("bbox")).alias("g")).select("doc_id", "seq", "file", "g.*")
+
+
+@query
+def src7_drawn_regions(spark, sf_dir):
+    """As drawn, for descriptions: no limit, no padding."""
+    x = _boxed(spark, sf_dir).where(T.needs_image_work(F.col("block_type")))
+    return x.select("doc_id", "seq", raster.image_name(F.col("doc_id"), F.col("chunk_id"), described=True).alias("file"), raster.geometry(F.col("bbox"), raster.AS_DRAWN).alias("g")).select("doc_id", "seq", "file", "g.*")
+
+
+@query
+def src8_record_images(spark, sf_dir):
+    """At index time: pictures under their records' ids."""
+    x = _boxed(spark, sf_dir).where(F.col("block_type").isin("PictureGroup", "FigureGroup"))
+    name = raster.image_name(F.col("doc_id"), F.col("chunk_id"), ident=storage.chunk_uuid(F.col("doc_id"), F.col("chunk_id")))
+    return x.select(name.alias("file"), raster.geometry(F.col("bbox")).alias("g")).select("file", "g.width", "g.height")
+
+
+@query
+def jn6_page_regions(spark, sf_dir):
+    """What each document's file is opened for, once."""
+    r = raster.page_regions(_boxed(spark, sf_dir))
+    return r.select("doc_id", F.array_join(F.transform("regions", lambda x: F.concat_ws(":", x["seq"], x["page"])), ",").alias("regions"))
 
 
 @query
@@ -230,10 +290,14 @@ def flt6_needs_description(spark, sf_dir):
     return _parsed(spark, sf_dir).select("doc_id", "seq", T.needs_image_work(F.col("block_type")).alias("needs_description"))
 
 
+def _delimited(text: Column) -> Column:
+    n = F.col("seq") % 4
+    return F.concat(F.when(n == 0, r"\[ x \] и \( y \) ").when(n == 1, r"\\[a  b\\]  и  \\( c\\)").when(n == 2, "$ x  y $ $$ z $$   ").otherwise("  "), text)
+
+
 @query
 def fn3_tidy_delimiters(spark, sf_dir):
-    raw = F.concat(F.lit(r"\[ x \] и \( y \) "), F.col("text"))
-    return _parsed(spark, sf_dir).select("doc_id", "seq", T.tidy_delimiters(raw).alias("text"))
+    return _parsed(spark, sf_dir).select("doc_id", "seq", T.tidy_delimiters(_delimited(F.col("text"))).alias("text"))
 
 
 @query
@@ -265,13 +329,21 @@ def prj5_plain_text(spark, sf_dir):
 
 @query
 def prj3_math_blocks(spark, sf_dir):
-    html = F.concat(F.lit('<p>'), F.col("text"), F.lit(' <math display="inline"> x &lt; \\\\alpha </math></p>'))
+    """PRJ3, PRJ4, FN11: inline and block formulas, doubled backslashes, row breaks, entities."""
+    n = F.col("seq") % 4
+    math = (
+        F.when(n == 0, '<math display="inline" class="k"> x &lt; \\\\alpha </math>').when(n == 1, '<math display="block">a \\\\ \\begin{b} &amp; \\\\end</math>')
+        .when(n == 2, '<math display="inline">a\\\\\\\\b</math> и <math  display="block">c</math>').otherwise('<math>y</math>')
+    )
+    html = F.concat(F.lit("<p>"), F.translate("text", "<>&", ""), F.lit(" "), math, F.lit("</p>"))
     return _blocks(spark, sf_dir).select("doc_id", "seq", markup.block_text(html).alias("text"))
 
 
 @query
 def prj7_repair_encoding(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markup.repair(F.col("text")).alias("text"))
+    n = F.col("doc_id") % 4
+    broken = F.when(n == 0, " cafÃ© Ð´Ð°").when(n == 1, " “q” ‘r’ ﬁn ﬂ").when(n == 2, "\r\nx\u0001\ry").otherwise(" e\u0301")
+    return table(spark, sf_dir, "documents").select("doc_id", markup.repair(F.concat("text", broken)).alias("text"))
 
 
 @query
@@ -294,33 +366,54 @@ def fn2_answer_text(spark, sf_dir):
     return _parsed(spark, sf_dir).select("doc_id", "seq", T.answer_text(raw).alias("text"))
 
 
+def _bare() -> Column:
+    """A chunk's text without the characters that the rules for formulas look at."""
+    return F.translate("text", "$\\()[]{}\"", "")
+
+
+def _with_formula(text: Column) -> Column:
+    n = F.col("seq") % 4
+    return F.when(n == 1, F.concat(text, F.lit(" \\\\alpha + x"))).when(n == 2, F.concat(F.lit("$x_1$, "), text)).when(n == 3, F.concat(text, F.lit(" \\\\beta(z слово) дальше"))).otherwise(text)
+
+
 @query
 def fn1_clean_answers(spark, sf_dir):
-    raw = F.concat(F.lit('{"text": "'), F.col("text"), F.lit(' \\\\alpha + x"}'))
-    return _parsed(spark, sf_dir).select("doc_id", "seq", answers.clean(raw).alias("answer"))
+    """FN1, FN2, FN14: an answer found in chatter, its text put right."""
+    raw = F.concat(F.lit('Вот: {"text" : "'), _with_formula(_bare()), F.lit('"} готово'))
+    return _parsed(spark, sf_dir).select("doc_id", "seq", answers.as_text_answer(raw)["text"].alias("text"))
 
 
 @query
 def fn4_escape(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", "seq", latex.escape(F.concat("text", F.lit(" \\alpha \\n \\nu"))).alias("text"))
+    n = F.col("seq") % 5
+    tail = F.when(n == 0, r" \alpha x").when(n == 1, r" \\beta \\\\\gamma;").when(n == 2, r" a \\ b \n c \nu \\new").when(n == 3, r" \"q\\' \{z").otherwise("")
+    return _parsed(spark, sf_dir).select("doc_id", "seq", latex.escape(F.concat(_bare(), tail)).alias("text"))
 
 
 @query
 def fn5_wrap_formulas(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", "seq", latex.wrap(F.concat("text", F.lit(" \\\\alpha + x"))).alias("text"))
+    """FN5, FN6: spans grow over mathematical words, close their brackets and are wrapped."""
+    return _parsed(spark, sf_dir).select("doc_id", "seq", latex.wrap(_with_formula(_bare())).alias("text"))
 
 
 @query
 def fn9_formulas_valid(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", latex.valid(F.col("text")).alias("valid"))
+    n = F.col("doc_id") % 6
+    tail = (
+        F.when(n == 0, r" $x^{2}$ и $$\{a\}$$").when(n == 1, r" $\frac{a}{b$").when(n == 2, r" $\left( x$").when(n == 3, r" $\begin{m} a \end{m}$ $\left(x\right)$")
+        .when(n == 4, r" $\begin{m} a \end{k}$").otherwise(" $}{$")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", latex.valid(F.concat(F.translate("text", "$\\{}", ""), tail)).alias("valid"))
 
 
 def _fake_text_model():
-    return lambda text, image: json.dumps({"text": text.replace("\\alpha", "alpha")}, ensure_ascii=False)
+    """Fails on texts whose length is a multiple of five."""
+    return lambda text, image: json.dumps({"text": text.replace("\\alpha", "alpha")}, ensure_ascii=False) if len(text) % 5 else "no answer"
 
 
 def _fake_image_model():
-    return lambda caption, context, image: json.dumps({"description": "Схема, на которой вершины соединены рёбрами; подпись дана в тексте.", "image_type": "диаграмма", "key_elements": ["схема"]}, ensure_ascii=False)
+    """Fails on captions whose length is a multiple of three."""
+    return lambda caption, context, image: json.dumps({"description": "Схема, на которой вершины соединены рёбрами; подпись дана в тексте." if len(caption) % 3 else "коротко", "image_type": "диаграмма", "key_elements": ["схема"]}, ensure_ascii=False)
 
 
 def _marked(spark, sf_dir):
@@ -329,22 +422,63 @@ def _marked(spark, sf_dir):
 
 @query
 def agg8_text_stats(spark, sf_dir):
-    """MDL1, MDL6, PRJ20, AGG8 with a deterministic stand-in for the model."""
+    """MDL1, MDL6, PRJ20, AGG8 with a deterministic stand-in for the model, which fails on some."""
     s = models.text_stats(models.repair_texts(_marked(spark, sf_dir), _fake_text_model))
     return s.withColumn("failed_chunks", _join("failed_chunks"))
 
 
+@query
+def mdl1_repaired_texts(spark, sf_dir):
+    """MDL1, MDL3, FLT7, PRJ20: accepted answers replace the text, failed chunks keep theirs."""
+    rows = _marked(spark, sf_dir).where(F.col("block_type") == "Text")
+    return models.repair_texts(rows, _fake_text_model).select("doc_id", "seq", "text", F.col("fixed_text").isNotNull().alias("fixed"))
+
+
 @query
 def agg9_image_stats(spark, sf_dir):
-    """MDL2, MDL7, PRJ19, AGG9 with a deterministic stand-in for the model."""
+    """MDL2, AGG9 with a deterministic stand-in for the model, which fails on some."""
     s = models.image_stats(models.describe_images(_parsed(spark, sf_dir), _fake_image_model))
     return s.withColumn("failed_chunks", _join("failed_chunks"))
 
 
+@query
+def mdl2_described_images(spark, sf_dir):
+    """MDL2, FLT8, PRJ19: accepted descriptions replace the caption."""
+    return models.describe_images(_parsed(spark, sf_dir), _fake_image_model).where("needs_description").select("doc_id", "seq", "text", "described")
+
+
+def _chain_model():
+    """Tells a tree from a diagram by whether the image before was described."""
+    return lambda caption, context, image: json.dumps({"description": "Ещё один рисунок с вершинами и рёбрами, описанный достаточно длинно.", "image_type": "дерево" if context.startswith("До изображения:\n![") else "диаграмма", "key_elements": []}, ensure_ascii=False)
+
+
+@query
+def mdl7_descriptions_in_order(spark, sf_dir):
+    """MDL7: the context of an image sees the new text of the image before it."""
+    x = _parsed(spark, sf_dir).withColumn("block_type", F.when(F.col("seq") % 20 == 13, "Figure").otherwise(F.col("block_type")))
+    return models.describe_images_in_order(x, _chain_model).where("needs_description").select("doc_id", "seq", "text")
+
+
+@query
+def mdl4_parameters(spark, sf_dir):
+    """MDL4: what the factory is handed, as the model reports it."""
+    o = models.ModelOptions(name="m", temperature=0.25, repeat_penalty=1.5, max_tokens=77, prompt="P {format}")
+    told = models.repair_texts(_marked(spark, sf_dir), lambda options, prompt: lambda text, image: json.dumps({"text": f"{options.name} {options.temperature} {options.repeat_penalty} {options.max_tokens} {prompt[:2]}"}), o)
+    return told.where("needs_work").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mdl5_image_prompts(spark, sf_dir):
+    """MDL5: what is asked about each image, after the fixed words."""
+    x = models.with_image_context(_parsed(spark, sf_dir)).where(T.needs_image_work(F.col("block_type")))
+    return x.select("doc_id", "seq", F.substring_index(models.image_prompt(F.col("text"), F.col("context")), "Подпись: ", -1).alias("asked"))
+
+
 @query
 def agg10_document_stats(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    return document.stats(b, blocks.parse_blocks(b))
+    """All stages' figures in one row a document."""
+    b, p = _blocks(spark, sf_dir), staged(_marked(spark, sf_dir), "parsed")
+    return document.stats(b, p, models.repair_texts(p, _fake_text_model), models.describe_images(p, _fake_image_model))
 
 
 @query

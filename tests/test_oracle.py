@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from folioflow.plans.oracle import ORACLE_SQL
+from folioflow.plans.sql import ORACLE_SQL
 from folioflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
