@@ -1,4 +1,10 @@
-"""Benchmark decontamination: windows of benchmark words, broadcast as a hash set, scanned over every document."""
+"""Benchmark decontamination: windows of benchmark words, broadcast as a hash set, scanned over every document.
+
+A window is a hash of its words' hashes. A block of the benchmark becomes sorted arrays of numbers (hash, a second hash,
+item), about 20 bytes a window, made once on the driver, broadcast once and shared by all batches of a worker. A document's
+windows are hashed together by array operations, looked up in a bitmap first, then in the sorted array, and a hit is
+verified by the second hash, computed for hits alone.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one broadcast may hold; larger benchmarks are scanned in blocks of whole items.
-BLOCK_BYTES = 64 << 20
+#: UTF-8 bytes of benchmark text that one broadcast may stand for (about 100 MB of arrays); larger benchmarks are scanned in blocks of whole items.
+BLOCK_BYTES = 32 << 20
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 18
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Word bytes stay (lower-case letters, digits, everything beyond ASCII), the rest becomes a space.
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -22,37 +32,71 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_WORD).split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+    def of(self, w: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+
+
+def rolled(x: np.ndarray, n: int, factor: np.uint64, starts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows of ``n`` words that begin at ``starts`` (all)."""
+    at = np.arange(len(x) - n + 1) if starts is None else starts
+    out = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        out = (out ^ x[at + k]) * factor
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Windows:
-    """Windows of a block of items: {first word of a full or short window}, window -> item ids."""
+    """Windows of a block of items: per number of words the sorted hashes, second hashes and item numbers, and a bitmap of the hashes' first bits."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], n: int):
-        self.n, self.of, vocabulary = n, {}, set()
-        for item, text in items:
-            w = words(text)
-            vocabulary.update(w)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                self.of.setdefault(tuple(w[i : i + n]), set()).add(item)
-        self.ids = {w: 1 for w in vocabulary}
-        self.short = sorted({len(k) for k in self.of if len(k) < n})
-
-    def scan(self, w: list[bytes]) -> tuple[np.ndarray | None, set]:
-        """Which words lie inside an occurrence of a window, and the items of those windows.
-
-        Only where that many words in a row belong to the benchmark's vocabulary is a window looked up and so verified.
-        """
-        known = np.fromiter(map(self.ids.__contains__, w), np.uint8, len(w))
-        if not known.any():
-            return None, set()
-        reach = np.concatenate([[0], np.cumsum(known, dtype=np.int64)])
+        hashes, found = _Hashes(), {}
+        self.items = [str(i) for i, _ in items]
+        for number, (_, text) in enumerate(items):
+            x = hashes.of(words(text))
+            if len(x):
+                size = min(n, len(x))
+                found.setdefault(size, []).append((rolled(x, size, _FIRST), rolled(x, size, _SECOND), np.full(len(x) - size + 1, number, np.int32)))
+        self.tables = {}
+        for size, parts in sorted(found.items()):
+            h, check, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((item, check, h))
+            h, check, item = h[order], check[order], item[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (item[1:] != item[:-1])])  # a window that an item repeats once
+            bits = max(10, min(28, int(len(h)).bit_length() + 3))
+            bitmap = np.zeros(1 << bits, bool)
+            bitmap[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables[size] = (h[new], check[new], item[new], np.packbits(bitmap, bitorder="little"), bits)
+
+    def scan(self, x: np.ndarray) -> tuple[np.ndarray | None, set[str]]:
+        """Which words (hashes) lie inside an occurrence of a window, and the items of those windows."""
         hit, items = None, set()
-        for n in (*self.short, self.n):
-            if len(w) < n:
-                break
-            for i in np.flatnonzero(reach[n:] - reach[:-n] == n).tolist():
-                if got := self.of.get(tuple(w[i : i + n])):
-                    hit = np.zeros(len(w), bool) if hit is None else hit
-                    hit[i : i + n] = True
-                    items |= got
+        for size, (table, check, item, bitmap, bits) in self.tables.items():
+            if len(x) < size:
+                continue
+            h = rolled(x, size, _FIRST)
+            at = (h >> np.uint64(64 - bits)).astype(np.int64)
+            near = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if not len(near):
+                continue
+            low, high = np.searchsorted(table, h[near]), np.searchsorted(table, h[near], "right")
+            near, low, high = near[high > low], low[high > low], high[high > low]
+            if not len(near):
+                continue
+            second = rolled(x, size, _SECOND, near)
+            for start, a, z, c in zip(near.tolist(), low.tolist(), high.tolist(), second, strict=True):
+                same = item[a:z][check[a:z] == c]
+                if len(same):
+                    hit = np.zeros(len(x), bool) if hit is None else hit
+                    hit[start : start + size] = True
+                    items.update(self.items[i] for i in same.tolist())
         return hit, items
 
 
@@ -70,21 +114,21 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` plus n_words, spans (array of (from, to) word ranges that are hit), items (array of text).
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """All rows and columns of ``docs`` plus ``names``: n_words, spans (array of (start, stop) word ranges that are hit), items (array of text).
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer, but not none. Null and empty
     texts have no words and no hits; items without words have no windows; an empty benchmark hits nothing. Repeated
-    rows of either table count each for itself (equal ids of items once). The benchmark goes to the workers as a
-    broadcast of at most ``block_bytes`` of its text; a larger one is scanned block by block, and a document's spans and
-    items grow from block to block, so memory is bounded and no item is left out. Input columns that bear a result's
-    name are replaced.
+    rows of either table count each for itself (equal ids of items once). The benchmark goes to the workers as
+    broadcasts that stand for at most ``block_bytes`` of its text each; a larger one is scanned block by block, and a document's spans and
+    items grow from block to block, so memory is bounded and no item is left out. Input columns that bear one of
+    ``names`` are replaced.
     """
     spark = docs.sparkSession
-    out = docs.drop("n_words", "spans", "items").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
+    out = docs.drop(*names).withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"), names[2]: F.expr("cast(array() as array<string>)")})
     schema = out.schema
 
-    def merged(old: list, hit: np.ndarray | None, n: int) -> list:
+    def merged(old: list, hit: np.ndarray | None) -> list:
         if hit is None:
             return old
         for s in old:
@@ -94,28 +138,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
 
     def scan_with(shared, at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = Windows(shared.value, window)
+            found, hashes = shared.value, _Hashes()
             for whole in batches:
                 for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                     n_words, spans, items = [], [], []
-                    for text, s, old in zip(b.column(at), b.column("spans"), b.column("items"), strict=True):
+                    for text, s, old in zip(b.column(at), b.column(names[1]), b.column(names[2]), strict=True):
                         text = text.as_py()
-                        w = words(text.encode() if isinstance(text, str) else text)
-                        hit, got = found.scan(w)
-                        n_words.append(len(w))
-                        spans.append(merged(s.as_py(), hit, len(w)))
-                        items.append(sorted({*old.as_py(), *(str(x) for x in got)}))
-                    cols = [*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(spans, b.column("spans").type), pa.array(items, b.column("items").type)]
+                        x = hashes.of(words(text.encode() if isinstance(text, str) else text))
+                        hit, got = found.scan(x)
+                        n_words.append(len(x))
+                        spans.append(merged(s.as_py(), hit))
+                        items.append(sorted({*old.as_py(), *got}))
+                    cols = [*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(spans, b.column(names[1]).type), pa.array(items, b.column(names[2]).type)]
                     yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
         return run
 
     any_block = False
-    for block in _blocks(benchmark, item_col, text_col, block_bytes):
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         any_block = True
-        out = out.mapInArrow(scan_with(spark.sparkContext.broadcast(block), schema.fieldNames().index(text_col)), schema)
+        out = out.mapInArrow(scan_with(spark.sparkContext.broadcast(Windows(block, window)), schema.fieldNames().index(text_col)), schema)
     if not any_block:
-        out = out.mapInArrow(scan_with(spark.sparkContext.broadcast([]), schema.fieldNames().index(text_col)), schema)
+        out = out.mapInArrow(scan_with(spark.sparkContext.broadcast(Windows([], window)), schema.fieldNames().index(text_col)), schema)
     return out
 
 
@@ -133,14 +177,25 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """``docs`` without contaminated documents (``remove='documents'``) or without the hit words (``'spans'``); same columns."""
-    text_col = options.get("text_col", "text")
-    found = hits(docs, benchmark, **options)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without contaminated documents (``remove='documents'``) or without the hit words (``'spans'``); all columns as they were, whatever their names.
+
+    Rows with null or empty texts stay; repeated rows stay repeated; no rows: no rows.
+    """
+    names = ("_words", "_spans", "_items")
+    while set(names) & set(docs.columns):
+        names = tuple(f"_{n}" for n in names)
+    found = hits(docs, benchmark, text_col=text_col, names=names, **options)
     if remove == "documents":
-        return found.where(F.size("spans") == 0).select(docs.columns)
-    cut = F.udf(lambda t, s: cut_spans(t, [(x["start"], x["stop"]) for x in s]) if t else t)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut(text_col, "spans")).otherwise(F.col(text_col))).select(docs.columns)
+        return found.where(F.size(names[1]) == 0).select(docs.columns)
+    at, spans_at = found.columns.index(text_col), found.columns.index(names[1])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [cut_spans(t.as_py(), [(x["start"], x["stop"]) for x in s.as_py()]) if len(s) else t.as_py() for t, s in zip(b.column(at), b.column(spans_at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, b.column(at).type), *b.columns[at + 1 :]], schema=b.schema)
+
+    return found.mapInArrow(cut, found.schema).select(docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

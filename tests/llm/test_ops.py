@@ -255,6 +255,7 @@ def test_decontamination(spark, none, rows):
     assert Counter((r["doc_id"], sum(s["stop"] - s["start"] for s in r["spans"])) for r in blocks.collect()) == Counter((k[0], k[2]) for k in want.elements())
     kept = decontam.decontaminate(d, b)
     assert kept.columns == d.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    assert kept.schema == d.schema and {r["spans"] for r in kept.collect()} == {"p"}  # columns of the same names keep their values
     cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(d, b, remove="spans").collect()}
     assert cut[20_001] == "A  b" and len(cut) == len({i for i, _ in extra})
     assert decontam.report(none, b).count() == 0 and not any(r["contaminated"] for r in decontam.report(d, b.limit(0)).collect())
@@ -477,18 +478,28 @@ def test_warc(spark):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
-def test_warc_query_against_sql(spark):
+@pytest.mark.parametrize("name", ["op5_decontamination", "op9_warc"])
+def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from folioflow.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
-    want = con.execute(ORACLE_SQL["op9_warc"])
+    for t in ("pages", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in want.description]
-    got = QUERIES["op9_warc"](spark, "/root/testdata/sf0.001").select(names).collect()
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").select(names).collect()
     assert Counter(map(tuple, got)) == Counter(want.fetchall())
 
 
+def test_windows_take_little_memory():
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(50_000)}" for _ in range(300_000)).encode()
+    found = decontam.Windows([(i, text[i * 20_000 : (i + 1) * 20_000]) for i in range(len(text) // 20_000)], 10)
+    held = sum(a.nbytes for t in found.tables.values() for a in t[:4])
+    assert held < 5 * len(text)
+
+
 def test_warc_filters_skip_payloads(spark):
     p = spark.createDataFrame([(i, "http://a", "x" * (2000 + i // 2 * 2)) for i in range(10)], "page_id long, url string, html string")
     back = warc.read_archives(spark, warc.write_archives(Workspace(spark, "t"), p))
