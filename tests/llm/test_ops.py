@@ -365,26 +365,53 @@ def test_what_follows_a_word_is_expected_to_sum_to_at_most_one():
 
 
 # 7
-def test_sketches(docs, none, rows):
+def spark_hash(spark, values, ddl):
+    """XXH64 as the operator takes it, of columns in a row."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+    return [r[0] for r in spark.createDataFrame(values, ddl).select(F.xxhash64(*names)).collect()]
+
+
+def brute_sketch(spark, texts_):
+    """text -> its fingerprint from plain loops: every shingle's hash, those under a quarter of the range, or else the least."""
+    lists = {t: [w for w in re.split(r"[\x20\x09-\x0D]+", t.lower().strip(" \t\n\x0b\f\r")) if w] for t in texts_}
+    vocab = sorted({w for ws in lists.values() for w in ws})
+    of = dict(zip(vocab, spark_hash(spark, [(w,) for w in vocab], "w string"), strict=True))
+    shingles_ = {t: [tuple(of[w] for w in ws[i : i + 5]) + (None,) * (5 - len(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))] if ws else [] for t, ws in lists.items()}
+    every = sorted({s for v in shingles_.values() for s in v}, key=str)
+    hashed = dict(zip(every, spark_hash(spark, every, "a long, b long, c long, d long, e long"), strict=True))
+    out = {}
+    for t, v in shingles_.items():
+        heads = {(hashed[s] & (1 << 64) - 1) >> 32 for s in v}
+        out[t] = {h for h in heads if h < 1 << 30} or ({min(heads)} if heads else set())
+    return out
+
+
+def test_sketches(spark, docs, none, rows):
     got = sketch.fingerprint_pairs(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     ids = [i for i, _ in order]
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows)
+    wanted = {}
     for k, (i, t) in enumerate(order):
         if ids.count(i) > 1 or ids.count(ids[(k + 1) % len(ids)]) > 1:
             continue
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + nxt[:half]
-        assert by[i]["n_chars"] == len(t) and by[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        sh = lambda x: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := x.lower().split()) else set()
-        if len(sh(t)) >= 80:
-            assert abs(by[i]["near_edited"] - len(sh(t) & sh(edited)) / len(sh(t))) < 0.35
-        if t == nxt:
-            assert by[i]["near_next"] == 1.0
-    assert len({r["fingerprint"] for r in got if r["doc_id"] and r["doc_id"] >= 10_000}) == 1
+        wanted[i] = t, t[: len(t) - half] + nxt[:half], nxt
+    prints = brute_sketch(spark, {x for v in wanted.values() for x in v})
+    hexed = lambda x: "".join(f"{h:08x}" for h in sorted(x))
+    like = lambda a, b: 1.0 if a == b else len(a & b) / len(a) if a else 0.0
+    for i, (t, edited, nxt) in wanted.items():
+        r = by[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(prints[t]), hexed(prints[edited]))
+        assert (r["near_edited"], r["near_next"]) == (like(prints[t], prints[edited]), like(prints[t], prints[nxt]))
+    assert len(wanted) > 50 and len({r["fingerprint"] for r in got if r["doc_id"] and r["doc_id"] >= 10_000}) == 1
+    assert all(r["fingerprint"] for r in got if r["n_chars"] > 20)
     assert sketch.fingerprint_pairs(none).count() == 0
+    edge = sketch.fingerprint_pairs(spark.createDataFrame([(None, "c d"), (-(1 << 63), "a b"), (5, "e f")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["edited_sha256"] for r in edge} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in ((5, "e a"), (-(1 << 63), "a c"), (None, "c e"))}
 
 
 def test_sketches_merge(spark):
