@@ -43,7 +43,7 @@ def test_run_is_the_stages(spark, folder):
     assert out.count() > 100 and out.agg({"length": "max"}).first()[0] <= 1024
 
 
-def test_near_copies_by_shingles(spark):
+def test_near_copies_by_shingles(spark, monkeypatch):
     """Against brute force: groups are the closure of 3 bits or a likeness of 0.8 over five words."""
     import random
 
@@ -76,6 +76,8 @@ def test_near_copies_by_shingles(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = sorted(set(label))
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    monkeypatch.setattr(jaccard, "TOLD_KEYS", 0)  # keys are joined, not told
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
