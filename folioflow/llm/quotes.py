@@ -131,6 +131,6 @@ def conversations_without_quotes(messages: DataFrame) -> DataFrame:
 def without_quotes(text):
     """The text's unquoted lines, without attribution lines that stand right above a quote; outer white space goes only where a quote was cut."""
     whole = F.coalesce(text, F.lit(""))
-    cut = F.regexp_replace(whole, "(?im)^[^\\r\\n]{0,200}\\b(?:wrote|writes|schrieb|a écrit|escribió)[ \\t]*:[ \\t]*(?:\\r\\n|\\n|\\r)(?=[ \\t]*>)", "")
+    cut = F.regexp_replace(whole, "(?im)^[^\\r\\n]*\\b(?:wrote|writes|schrieb|a écrit|escribió)[ \\t]*:[ \\t]*(?:\\r\\n|\\n|\\r)(?=[ \\t]*>)", "")
     cut = F.regexp_replace(cut, "(?m)^[ \\t]*>[^\\r\\n]*(?:\\r\\n|\\n|\\r|\\z)", "")
     return F.when(whole.rlike("(?m)^[ \\t]*>"), F.btrim(cut, F.lit(" \t\r\n"))).otherwise(whole)

@@ -2,7 +2,7 @@
 
 Features are presences of whole words and of word beginnings of 3 to 7 letters. For each training text that names a
 group, a twin with the group terms swapped inside their list is made; the loss adds the squared difference of the two
-scores, so that naming one group rather than another, or any at all, moves the score little.
+logits, so that naming one group rather than another, or any at all, moves the score little.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +72,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def descend(rows: list[list[int]], twins: list[tuple[int, list[int]]], y: np.ndarray, n_features: int, fairness: float, l2: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Minimises log loss + l2 |w|^2 + fairness * mean (score - twin's score)^2 by Adam. twins: (row, its features)."""
+def descend(features_of: tuple[np.ndarray, np.ndarray], twins_of: tuple[np.ndarray, np.ndarray], base: np.ndarray, y: np.ndarray, n_features: int, fairness: float, l2: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Minimises log loss + l2 |w|^2 + fairness * mean (logit - twin's logit)^2 by Adam.
 
-    def flat(x):
-        size = np.array([len(r) for r in x], np.int64)
-        return np.concatenate([np.array(r, np.int64) for r in x] or [np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(x)), size)
-
-    col, row = flat(rows)
-    tcol, trow = flat([t for _, t in twins])
-    base = np.array([i for i, _ in twins], np.int64)
+    Rows are given as (feature numbers of all rows one behind the other, how many each has); ``base``: the row a twin belongs to.
+    """
+    (col, size), (tcol, tsize) = features_of, twins_of
+    rows, twins = y, base
+    row, trow = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(tsize)), tsize)
     w, b = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, rounds + 1):
@@ -154,9 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, fairness: float = 1.0, l2: float = 1
                 twin.append(None if other is None else sorted(at[f] for f in features(other) & at.keys()))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(twin, pa.list_(pa.int32()))], names=["y", "own", "twin"])
 
-    rows = train.select("text", "toxic", "doc_id").orderBy("doc_id").select("text", "toxic").mapInArrow(encode, "y int, own array<int>, twin array<int>").collect()
-    y = np.array([1.0 if r[0] else 0.0 for r in rows])
-    w, b = descend([r[1] for r in rows], [(i, r[2]) for i, r in enumerate(rows) if r[2] is not None], y, len(names), fairness, l2)
+    rows = train.select("text", "toxic", "doc_id").orderBy("doc_id").select("text", "toxic").mapInArrow(encode, "y int, own array<int>, twin array<int>").toArrow().combine_chunks()
+
+    def packed(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = pa.concat_arrays(rows.column(name).drop_null().chunks or [pa.array([], pa.list_(pa.int32()))])
+        return lists.flatten().to_numpy(zero_copy_only=False), np.array(pc.list_value_length(lists), np.int64)
+
+    y = np.array(pc.not_equal(rows.column("y"), 0), float)
+    base = np.flatnonzero(np.array(rows.column("twin").is_valid()))
+    w, b = descend(packed("own"), packed("twin"), base, y, len(names), fairness, l2)
     ws.drop(ws.root)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, b)
 
@@ -184,5 +189,8 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents below the threshold, columns unchanged."""
-    return with_scores(docs, fit(docs, labels, **options), out="_toxic").where(F.col("_toxic") < threshold).select(docs.columns)
+    """The documents below the threshold, all columns as they were, whatever their names. Null and empty texts have the score of no words; repeated rows share their fate; no rows: no rows."""
+    out = "_toxic"
+    while out in docs.columns:
+        out = f"_{out}"
+    return with_scores(docs, fit(docs, labels, **options), out=out).where(F.col(out) < threshold).select(docs.columns)

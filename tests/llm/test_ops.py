@@ -92,6 +92,28 @@ def test_shards(spark, docs, none, rows):
     assert shards.shard_documents(none).count() == 0
 
 
+def test_overfull_ranges_are_cut_by_key(spark):
+    """One text, and one repeated row, hold a third of all rows each: spread over all shards, while rows of other keys stay together."""
+    r = random.Random(5)
+    rows_ = [(i, "hot text") for i in range(400)] + [(7, "a row that repeats")] * 400 + [(10_000 + i, f"t{r.randrange(150)}") for i in range(400)]
+    got = shards.shard_documents(spark.createDataFrame(rows_, "doc_id long, text string").repartition(6), n_shards=4).collect()
+    assert len(got) == 1200
+    by: dict = {}
+    for x in got:
+        by.setdefault(x["shard"], []).append(x)
+    assert all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in by.values())
+    loads = [sum(x["size"] for x in v) for v in by.values()]
+    assert len(by) == 4 and max(loads) - min(loads) < 0.1 * sum(loads) / 4
+    crc = lambda t: zlib.crc32(t.encode())
+    for hot in ("hot text", "a row that repeats"):
+        assert len({x["shard"] for x in got if x["text_crc32"] == crc(hot)}) == 4
+    cold: dict = {}
+    for x in got:
+        if x["text_crc32"] not in (crc("hot text"), crc("a row that repeats")):
+            cold.setdefault(x["text_crc32"], set()).add(x["shard"])
+    assert all(len(v) == 1 for v in cold.values())
+
+
 # 2
 def fingerprint(t):
     w = words(t)
@@ -196,7 +218,98 @@ def test_quotes_link_whole_passages(spark):
     assert got[3, 5000]["parent_turn"] == 1 and got[3, 5000]["n_linked"] == 1 and got[3, 5000]["n_quoted"] == 2
 
 
+def brute_quotes(m):
+    """One conversation at a time, by plain loops: {position in m: (parent_turn, n_quoted, n_linked, depth)}."""
+    norm = lambda t: " ".join(t.lower().split())
+    quoted = lambda line: re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+    own = [norm(" ".join(x for x in re.split(r"\r\n|\n|\r", t or "") if not re.match(r"[ \t]*>", x))).split() for _, _, _, t in m]
+
+    def holds(words_, passage):
+        p = passage.split()
+        return any(words_[i : i + len(p)] == p for i in range(len(words_) - len(p) + 1))
+
+    out = {}
+    for k, (conv, turn, _, text) in enumerate(m):
+        before = [(t, own[j]) for j, (c, t, _, _) in enumerate(m) if c == conv and t < turn]
+        lines = [(at, quoted(x)[1].count(">"), norm(x[len(quoted(x)[0]) :])) for at, x in enumerate(re.split(r"\r\n|\n|\r", text or "")) if quoted(x)]
+        units = [(level, False, [at], w) for at, level, w in lines]
+        for at, level, w in lines:
+            if not any(a == at - 1 and lv == level for a, lv, _ in lines):
+                run, a = [], at
+                while (nxt := next((x for x in lines if x[0] == a and x[1] == level), None)) is not None:
+                    run.append(nxt)
+                    a += 1
+                units.append((level, True, [x[0] for x in run], norm(" ".join(x[2] for x in run))))
+        found = []
+        for level, whole, ats, w in units:
+            turns = [t for t, ws_ in before if w and holds(ws_, w)]
+            if turns:
+                found.append((-level, whole, max(turns), ats))
+        blank = {at for at, _, w in lines if not w}
+        parent = max(found)[2] if found else max((t for t, _ in before), default=None)
+        out[k] = parent, len(lines), len({a for f in found for a in f[3]} - blank), max((lv for _, lv, _ in lines), default=0)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    r = random.Random(9)
+    words_ = ["yes", "no", "we", "meet", "on", "Monday", "then", "Ok", "the", "plan"]
+    m = []
+    for conv in range(12):
+        said: list[list[str]] = []
+        turns = sorted(r.sample(range(0, 4000), 14))
+        for turn in turns:
+            lines = [" ".join(r.choice(words_) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 3))]
+            quotes_ = []
+            if said and r.random() < 0.7:
+                for _ in range(r.randint(1, 2)):
+                    source = " ".join(r.choice(said)).split() if r.random() < 0.8 else ["never", "said", "this"]
+                    cut = r.randint(0, max(0, len(source) - 2))
+                    part = source[cut : cut + r.randint(1, 8)]
+                    mark, wrap = "> " * r.randint(1, 3), r.randint(1, 8)
+                    quotes_ += [mark + " ".join(part[i : i + wrap]).upper() for i in range(0, len(part), wrap)] + ([">"] if r.random() < 0.2 else []) + ["between"] * r.randint(0, 1)
+            said.append(lines)
+            m.append((conv, turn, "u", "\n".join([*quotes_, *lines])))
+    m.append((12, 0, "a", ("word " * 30_000).strip()))
+    m.append((12, 5000, "b", "> " + ("word " * 20_000).strip() + "\n" + "x" * 300 + " wrote:\n> word word\nfine"))
+    want = brute_quotes(m)
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.conversations_without_quotes(spark.createDataFrame(m, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    for k, (conv, turn, _, _) in enumerate(m):
+        x = got[conv, turn]
+        assert (x["parent_turn"], x["n_quoted"], x["n_linked"], x["depth"]) == want[k], m[k]
+    assert sum(w[2] for w in want.values()) > 60
+    assert got[12, 5000]["text"] == "fine"
+
+
 # 4
+def test_fairness_lessens_score_changes(spark):
+    """A term that stands mostly in toxic texts: with the penalty, swapping it for another group's moves the score less, and rude words still count."""
+    r = random.Random(6)
+    neutral = [f"n{i}word" for i in range(60)]
+    rows_, labels_ = [], []
+    for i in range(800):
+        bad = i % 3 == 0
+        w = [r.choice(neutral) for _ in range(20)]
+        if bad:
+            w += [r.choice(["idiot", "moron"])] if r.random() < 0.7 else []
+            w += ["muslims"] if r.random() < 0.8 else ["christians"] if r.random() < 0.1 else []
+        elif r.random() < 0.3:
+            w += [r.choice(["christians", "jews", "muslims", "hindus"])]
+        rows_.append((i, " ".join(w)))
+        labels_.append((i, int(bad)))
+    d, y = spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(labels_, "doc_id long, toxic int")
+    plain, fair = (toxicity.fit(d, y, fairness=f) for f in (0.0, 1.0))
+    said = " ".join(neutral[:20])
+
+    def gap(model):
+        scores = [model.score(f"{said} {t}") for t in ("muslims", "christians", "jews", "hindus")]
+        return max(scores) - min(scores)
+
+    assert gap(fair) < 0.5 * gap(plain)
+    assert fair.score(f"{said} muslims") < plain.score(f"{said} muslims") - 0.1
+    assert fair.score(f"{said} idiot") > fair.score(said) + 0.2
+
+
 def test_toxicity(spark, none):
     r = random.Random(4)
     neutral, rude, named = [f"n{i}word" for i in range(80)], ["idiot", "moron", "scum"], ["muslim", "jewish", "woman", "gay"]
@@ -222,6 +335,10 @@ def test_toxicity(spark, none):
     model = toxicity.fit(d, y)
     assert max(model.score(f"n1word n2word {t}") for t in named) < 0.3 < model.score("n1word idiot")
     assert toxicity.reject_toxic(d, y).columns == d.columns
+    clash = d.withColumnRenamed("label", "_toxic")
+    assert {r["_toxic"] for r in toxicity.reject_toxic(clash, y).collect()} == {"x"}
+    long = spark.createDataFrame([(1, "n1word " * 300_000 + "idiot")], "doc_id long, text string")
+    assert toxicity.with_scores(long, toxicity.fit(d, y)).first()["score"] > 0.3
     assert toxicity.report(none, y).count() == 0
     assert {r["score"] for r in toxicity.report(d, y.limit(0)).collect()} and toxicity.reject_toxic(d, y.limit(0)).count() == len(rows)
 
