@@ -84,7 +84,7 @@ SELECT doc_id, CASE WHEN bool_or(gone) THEN NULL ELSE bool_and(b = e AND l = r A
     "src8_record_images": _with(_GEOMETRY.format(more=f"{_CHUNK_ID} || '.png' AS file,", cap=600, low=32, where="block_type IN ('PictureGroup', 'FigureGroup')", width="width, height"), "parsed"),
     "jn6_page_regions": _with("SELECT doc_id, string_agg(seq || ':' || CAST(page AS INTEGER), ',' ORDER BY seq) AS regions FROM parsed GROUP BY doc_id", "parsed"),
     "snk7_upsert": "SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN upper(c_name) ELSE c_name END AS name, c_nationkey AS nation FROM customer UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey FROM customer WHERE c_nationkey = 7",
-    "mdl1_repaired_texts": _with(f"SELECT doc_id, seq, CASE WHEN w AND length(t) % 5 <> 0 THEN {_FIXED} ELSE t END AS text, w AND length(t) % 5 <> 0 AS fixed FROM {_WORK} WHERE block_type = 'Text'", "parsed"),
+    "mdl1_repaired_texts": _with(f"SELECT doc_id, seq, CASE WHEN w AND length(t) % 5 <> 0 THEN {_FIXED} ELSE t END AS text, w AND length(t) % 5 <> 0 AS fixed FROM (SELECT *, {_needs('t')} AS w FROM (SELECT *, translate({_FAKE_MARK}, '$', '') AS t FROM parsed WHERE block_type = 'Text'))", "parsed"),
     "mdl2_described_images": _with(f"SELECT doc_id, seq, CASE WHEN length(text) % 3 <> 0 THEN '![диаграмма][' || text || '](Схема, на которой вершины соединены рёбрами; подпись дана в тексте.. Ключевые слова: схема)' ELSE text END AS text, length(text) % 3 <> 0 AS described FROM parsed WHERE block_type IN {_PICTURES}", "parsed"),
     "mdl4_parameters": _with(f"SELECT text, count(*) AS n FROM (SELECT 'm 0.25 1.5 77 P' AS text, w FROM {_WORK}) WHERE w GROUP BY text", "parsed"),
     "mdl5_image_prompts": _with(

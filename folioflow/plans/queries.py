@@ -430,7 +430,7 @@ def agg8_text_stats(spark, sf_dir):
 @query
 def mdl1_repaired_texts(spark, sf_dir):
     """MDL1, MDL3, FLT7, PRJ20: accepted answers replace the text, failed chunks keep theirs."""
-    rows = _marked(spark, sf_dir).where(F.col("block_type") == "Text")
+    rows = _marked(spark, sf_dir).where(F.col("block_type") == "Text").withColumn("text", F.translate("text", "$", ""))
     return models.repair_texts(rows, _fake_text_model).select("doc_id", "seq", "text", F.col("fixed_text").isNotNull().alias("fixed"))
 
 
