@@ -10,6 +10,7 @@ import gc
 import json
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _ROOTS.setdefault(spark, []).append(self.root)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -57,6 +59,18 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+_ROOTS: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes what this session's operators have written to the shared folder, once their results are read; how many folders."""
+    roots = _ROOTS.pop(spark, [])
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(roots)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Driver rows of a bounded count as a table that the JVM builds (no Python on the executors)."""
     names = [x.strip().split()[0] for x in ddl.split(",")]

@@ -36,6 +36,30 @@ def test_stages(spark, folder):
     assert seen[names[3]] == seen[names[2]]
 
 
+def test_stages_take_any_rows(spark, folder):
+    """Nulls in every column, empty and very long texts, repeated rows, columns of clashing names, and no rows."""
+    at, rows = folder
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, spans string, _toxic string, _key string, label string, n_words string"
+    some = [(i, t, "en", "s", len(t), "a", "b", "c", "d", "e") for i, t in rows[:20]]
+    clean = rows[40][1]
+    odd = [(None, None, None, None, None, "a", "b", "c", "d", "e"), (7_000, None, None, None, None, None, None, None, None, None), (7_001, "", None, None, 0, "a", "b", "c", "d", "e"), (7_002, clean, "en", "s", 1, "a", "b", "c", "d", "e"), (7_002, clean, "en", "s", 1, "a", "b", "c", "d", "e"), (7_002, "another text of quite different words under one id", "en", "s", 1, "a", "b", "c", "d", "e"), (7_003, "long " * 200_000, "en", "s", 1, "a", "b", "c", "d", "e")]
+    docs = spark.createDataFrame([*some, *odd], ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns and out.schema["spans"].dataType.simpleString() == "string"
+        got = out.collect()
+        assert all(r["spans"] in ("a", None) and r["_toxic"] in ("b", None) and r["_key"] in ("c", None) for r in got)
+        if name != "simhash_near_dedup":
+            assert len(got) == len(some) + len(odd)
+        else:
+            ids = [r["doc_id"] for r in got]
+            assert ids.count(None) == 1 and ids.count(7_000) == 1 and ids.count(7_001) == 0 and ids.count(7_002) == 2 and ids.count(7_003) == 1
+            assert len(got) == len(some) + 5
+        assert stage(spark, docs.limit(0), at).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
+    assert len([r for r in packed if r["doc_id"] is None]) == 1 and max(r["piece"] for r in packed if r["doc_id"] == 7_003) > 100
+
+
 def test_run_is_the_stages(spark, folder):
     at, _ = folder
     out = corpus_pipeline.run(spark, at)
