@@ -45,12 +45,12 @@ class _Hashes(dict):
 
 def rolled(x: np.ndarray, n: int, factor: np.uint64, starts: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the windows of ``n`` words that begin at ``starts`` (all)."""
-    at = np.arange(len(x) - n + 1) if starts is None else starts
-    out = np.full(len(at), n, np.uint64)
+    m = len(x) - n + 1 if starts is None else len(starts)
+    out = np.full(m, n, np.uint64)
     for k in range(n):
-        out = (out ^ x[at + k]) * factor
-        out ^= out >> np.uint64(29)
-    return out
+        out ^= x[k : k + m] if starts is None else x[starts + k]
+        out *= factor
+    return out ^ out >> np.uint64(29)
 
 
 class Windows:
