@@ -65,6 +65,17 @@ def test_with_range(spark):
     assert all(r["r"] == sum(b <= r["k"] for b in bounds) for r in got)
 
 
+def test_folders_are_shared_and_removed(spark):
+    from folioflow.llm import common
+
+    ws = Workspace(spark, "t")
+    assert ws.keep(spark.range(3), "x").count() == 3 and common.clean_up(spark) >= 1 and common.clean_up(spark) == 0
+    conf = type("C", (), {"get": lambda self, name, default=None: default})()
+    context = type("S", (), {"master": "spark://host:7077", "getConf": lambda self: conf})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(type("X", (), {"sparkContext": context})())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
