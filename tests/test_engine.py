@@ -378,3 +378,26 @@ def test_plans_scan_stages_once(spark):
     assert plan_.count("FileScan") <= 3 and plan_.count("MapInArrow") <= 1
     plan_ = QUERIES["mdl10_sparse_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan_
+
+
+def test_stage_folders(spark, tmp_path):
+    from folioflow.sources import stages
+
+    kept = stages.staged(spark.range(5), "t")
+    assert kept.count() == 5 and stages.drop_stages(spark) >= 1 and stages.drop_stages(spark) == 0
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):  # no local folder on a cluster
+        stages.shared_folder(Session())
