@@ -130,7 +130,7 @@ def write_archives(ws: Workspace, pages: DataFrame, date: str = "2000-01-01T00:0
     """One record per page in WARC/1.1 files under the shared folder; the path.
 
     Of records with equal payloads of at least REVISIT_BYTES, the one with the largest page_id (nulls last) is the
-    response and the others revisit it; of rows that repeat that page_id, all are responses. Only digests are grouped, and only digests
+    response and the others revisit it; of rows that repeat that page_id, all are responses (and share the record id that the others refer to). Only digests are grouped, and only digests
     that occur again meet the pages: payloads are not shuffled unless those digests are many.
     """
     body = F.coalesce("html", F.lit(""))
@@ -140,9 +140,10 @@ def write_archives(ws: Workspace, pages: DataFrame, date: str = "2000-01-01T00:0
     revisit = F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
     plain = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7F]", "%20")
     urn = lambda c, extra: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", c.cast("string"), extra).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    own = F.when(revisit | F.col("kept").isNull(), F.monotonically_increasing_id().cast("string"))  # records that nothing refers to have an id of their row alone
     record = F.concat_ws(
         "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"), F.col("digest"))), F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"), F.concat_ws("|", "digest", own))), F.lit(f"WARC-Date: {date}"),
         F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), plain)),
         F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.concat(F.lit("X-Payload-Length: "), F.col("size").cast("string")),

@@ -631,6 +631,10 @@ def test_warc(spark):
         want[i, len(raw), g, "revisit" if again else "response", best[g] if again else None] += 1
     assert got == want
     assert warc.round_trip(p.limit(0)).count() == 0
+    ids = [r["record_id"] for r in warc.read_archives(spark, warc.write_archives(Workspace(spark, "t"), p)).select("record_id").collect()]
+    assert len(set(ids)) == len(ids) == len(rows)
+    huge = spark.createDataFrame([(1, "u", "é\r\n\r\n" * 500_000), (2, "u", "é\r\n\r\n" * 500_000)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.round_trip(huge).collect()) == [(1, 3_000_000, "revisit"), (2, 3_000_000, "response")]
 
 
 @pytest.mark.parametrize("name", ["op5_decontamination", "op9_warc"])
