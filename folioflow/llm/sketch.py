@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from .common import small_table, with_range
+from .common import shuffle_parts, small_table, with_range
 
 SCALE = 4  # one shingle in SCALE is kept
 SHINGLE = 5
@@ -60,13 +60,13 @@ def with_next(docs: DataFrame, order: str, last: str, columns: list[str], derive
     """Adds ``derived`` and next_<column> of all ``columns``: the values of the row after this one by descending ``order`` (long, not null).
 
     Rows with ``last`` come after others of the same ``order``, then a hash of the row decides; after the last row comes the
-    first. Rows are dealt into ranges of ``order`` at the quantiles of a sample, about RANGE_ROWS each. Each range gets a
+    first. Rows are dealt into ranges of ``order`` at the quantiles of a sample, of RANGE_ROWS each at most (fewer if there are more shuffle partitions). Each range gets a
     copy of the first row of the range below it, so a window per range sees every neighbour; no window runs over the whole
     table. ``derived`` columns are worked out after the shuffle, once a row.
     """
     spark = docs.sparkSession
     rows = docs.count()
-    n = max(16, min(MAX_RANGES, -(-rows // RANGE_ROWS)))
+    n = max(16, min(MAX_RANGES, max(2 * shuffle_parts(spark), -(-rows // RANGE_ROWS))))
     share = min(1.0, n * DRAWN / max(rows, 1))
     drawn = docs.where(F.pmod(F.xxhash64(order, F.lit("drawn")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(order).toArrow().column(0).to_numpy()
     bounds = sorted(set(np.quantile(drawn, np.arange(1, n) / n, method="lower").tolist())) if len(drawn) else []
