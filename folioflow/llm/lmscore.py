@@ -6,14 +6,16 @@ Probabilities interpolate the pair's relative frequency with the single word's a
 exact); the weight depends on how often the history occurs and is fitted to all training texts, each token held out of
 its own counts. Level 1 takes so many probes that of all words of the vocabulary at most FALSE_WORDS are expected to be
 seen falsely after a given word; as many occurrences are added to the history's count, so what follows a word is
-expected to sum to at most 1, falsely seen pairs included. Pairs are those of words with LEAST_COUNT occurrences at least.
+expected to sum to at most 1, falsely seen pairs included. All pairs of the training texts are put, those of rare words,
+too. A pair with a word seen once counts for the share of such pairs that recur, fitted in the same way.
 
 Texts are turned into chunks of about CHUNK_TOKENS tokens: their distinct word hashes and, per token, a number into
-them. Words and pairs leave a chunk as rows (hash, count), summed inside it first and combined before they are
+them. Words leave a chunk as rows (hash, count), summed inside it first and combined before they are
 shuffled; so rows grow with the corpus and not with chunks times buckets. Chunks get counts back in one join; words
-and pairs of over one in FREQUENT tokens, of which there can be no more than FREQUENT, never take part in it but are
-broadcast. The filter is cut into segments of about SEGMENT_PAIRS pairs. Up to BROADCAST_BYTES in all it is broadcast; a larger one is
-not: then chunks send their pairs to the segments and get the levels back. Both ways give the same levels.
+of over one in FREQUENT tokens, of which there can be no more than FREQUENT, never take part in it but are
+broadcast. The filter is cut into segments of about SEGMENT_PAIRS pairs, GROUP of which are one task's. Pairs travel
+sorted, by group, as compressed differences: a few bytes a pair instead of a row. Up to BROADCAST_BYTES in all the filter is broadcast; a larger one is
+not: then chunks send their pairs to the groups and get the levels back. Both ways give the same levels.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -34,16 +36,18 @@ from .common import Workspace
 CHUNK_TOKENS = 1 << 18
 #: Mean pairs of a segment of the filter.
 SEGMENT_PAIRS = 1 << 18
-#: Words and pairs of at least one in so many tokens are frequent; there are at most so many of them.
+#: Segments to which pairs are sent together.
+GROUP = 8
+#: Bits of a pair's key that are kept. More than a pair's place in its segment: that two of a segment's pairs agree in them is far rarer than a false probe.
+KEY_BITS = 56
+#: Words of at least one in so many tokens are frequent; there are at most so many of them.
 FREQUENT = 1 << 21
 #: The whole filter is broadcast only if its bits take no more than this.
 BROADCAST_BYTES = 192 << 20
 #: Of all words of the vocabulary, about so many are expected to be seen falsely after a given word; probes of every further level.
-FALSE_WORDS, FURTHER_PROBES = 4096, 6
-#: Words that occur less often tell nothing reliable about their neighbours: pairs with them are neither put nor read.
-LEAST_COUNT = 8
-#: Entries that a task combines before it sends them.
-COMBINED = 1 << 17
+FALSE_WORDS, FURTHER_PROBES = 1, 6
+#: Entries that a task combines before it sends them: words, pairs.
+COMBINED, COMBINED_PAIRS = 1 << 17, 1 << 19
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: What stands for the end of a text, and before its first word: no word holds a space.
 END = xxhash.xxh64_intdigest(b" end", 42)
@@ -79,7 +83,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(history * np.uint64(0x9E3779B97F4A7C15) + word)
+    return mixed(history * np.uint64(0x9E3779B97F4A7C15) + word) & np.uint64((1 << 64) - (1 << 64 - KEY_BITS))
+
+
+def packed_keys(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Sorted distinct keys as differences, and counts."""
+    steps = np.diff(keys >> np.uint64(64 - KEY_BITS), prepend=np.uint64(0))
+    return squeeze(steps if counts is None else np.concatenate([steps, counts.astype(np.uint64)]))
+
+
+def unpacked_keys(raw: bytes, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    both = loosen(raw, np.uint64)
+    n = len(both) // 2 if counts else len(both)
+    return np.cumsum(both[:n], dtype=np.uint64) << np.uint64(64 - KEY_BITS), both[n:].astype(np.int64)
+
+
+def _by_group(keys: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first, end) of sorted keys."""
+    group = segment_of(keys, segments) // GROUP
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(keys)] if len(keys) else [0]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        yield int(group[a]), a, z
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -87,10 +111,6 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def _segment_column(key: str, segments: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(F.col(key), 32) * F.lit(segments).cast("long"), 32)
-
-
 def first_probes(words: int, false_words: float = FALSE_WORDS) -> int:
     """Probes of level 1: of ``words`` absent pairs, at most ``false_words`` are expected to be seen falsely."""
     return max(2, math.ceil(math.log2(max(words, 1) / false_words)))
@@ -120,7 +140,7 @@ class Bits:
         for level in range(1, int(levels.max(initial=0)) + 1):
             a, step = self.places(keys[levels >= level], level)
             for _ in range(self.probes if level == 1 else FURTHER_PROBES):
-                self.on[(a % n).astype(np.int64)] = True
+                self.on[((a >> np.uint64(32)) * n >> np.uint64(32)).astype(np.int64)] = True
                 a = a + step
 
     def packed(self) -> bytes:
@@ -154,7 +174,7 @@ class Filter:
             while len(at) and level < 64:
                 a, step = Bits.places(part[at], level)
                 for _ in range(self.probes if level == 1 else FURTHER_PROBES):
-                    p = a % size[at] + start[at]
+                    p = ((a >> np.uint64(32)) * size[at] >> np.uint64(32)) + start[at]
                     ok = (raw[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     at, a, step = at[ok], a[ok] + step[ok], step[ok]
                 out[lo + at] = level
@@ -214,9 +234,9 @@ class Chunk:
         return prev
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens make a pair with the word before them, and those pairs' keys."""
+        """Which tokens make a pair of known words with the word before them, and those pairs' keys."""
         prev = self.history()
-        at = np.flatnonzero(np.minimum(self.counts[prev], self.counts[self.idx]) >= LEAST_COUNT)
+        at = np.flatnonzero(np.minimum(self.counts[prev], self.counts[self.idx]) > 0)
         return at, pair_keys(self.vocab[prev[at]], self.vocab[self.idx[at]])
 
 
@@ -283,43 +303,57 @@ def word_counts(ws: Workspace, chunks: DataFrame) -> DataFrame:
     return ws.keep(chunks.mapInArrow(_combined(count), "key long, n long").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
 
 
-def build_filter(ws: Workspace, chunks: DataFrame, segments: int, probes: int, enough: int) -> DataFrame:
-    """(segment, n_bits, bits, often) of the training pairs' filter, written; often: pairs with ``enough`` occurrences.
+def build_filter(ws: Workspace, chunks: DataFrame, segments: int, probes: int) -> DataFrame:
+    """(segment, n_bits, bits) of the training pairs' filter, written.
 
-    Pairs are shuffled once, to their segment, and summed there: most pairs of a corpus are rare, so combining them any
-    further before the shuffle would save little. A task holds one segment.
+    Pairs are shuffled once, to their group of segments, and summed there: most pairs of a corpus are rare, so combining them any
+    further before the shuffle would save little. A task holds one group.
     """
 
+    def count(c):
+        at, keys = c.pairs()
+        return np.unique(keys[c.trains()[at]], return_counts=True)
+
+    def send(batches):
+        sums = _Sums(COMBINED_PAIRS)
+
+        def out():
+            keys, n = sums.take()
+            rows = [(g, packed_keys(keys[a:z], n[a:z])) for g, a, z in _by_group(keys, segments)]
+            for lo in range(0, len(rows), 1024):
+                g, raw = zip(*rows[lo : lo + 1024], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(raw, pa.binary())], names=["grp", "raw"])
+
+        for c, _ in _chunks(batches):
+            sums.add(*count(c))
+            if sums.full():
+                yield from out()
+        yield from out()
+
     def build(batches):
-        now, sums = None, _Sums()
+        now, sums = None, _Sums(COMBINED_PAIRS)
 
         def out():
             keys, n = sums.take()
-            level = np.frexp(n.astype(np.float64))[1].astype(np.int64)  # 1: level 1; 2, 3: level 2; 4..7: level 3
-            bits = Bits(Bits.size(int(level.sum()), len(keys), probes), probes)
-            bits.put(keys, level)
-            often = pa.array([keys[n >= enough].view(np.int64)], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bits.n], pa.int64()), pa.array([bits.packed()], pa.binary()), often], names=["segment", "n_bits", "bits", "often"])
+            seg = segment_of(keys, segments)
+            cuts = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                level = np.frexp(n[a:z].astype(np.float64))[1].astype(np.int64)  # 1: level 1; 2, 3: level 2; 4..7: level 3
+                bits = Bits(Bits.size(int(level.sum()), z - a, probes), probes)
+                bits.put(keys[a:z], level)
+                yield pa.RecordBatch.from_arrays([pa.array([int(seg[a])], pa.int64()), pa.array([bits.n], pa.int64()), pa.array([bits.packed()], pa.binary())], names=["segment", "n_bits", "bits"])
 
         for b in batches:
-            key, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            seg = segment_of(key, segments)
-            cuts = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)] if len(seg) else [0]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if now is not None and seg[a] != now:
-                    yield out()
-                now = int(seg[a])
-                sums.add(key[a:z], n[a:z])
+            for grp, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if now is not None and grp != now:
+                    yield from out()
+                now = grp
+                sums.add(*unpacked_keys(raw.as_py(), counts=True))
         if now is not None:
-            yield out()
-
-    def count(c):
-        at, keys = c.pairs()
-        return np.unique(keys[c.trains()[at]], return_counts=True)
+            yield from out()
 
-    segment = _segment_column("key", segments)
-    sent = chunks.mapInArrow(_combined(count), "key long, n long").repartition(segment).sortWithinPartitions(segment)
-    return ws.keep(sent.mapInArrow(build, "segment long, n_bits long, bits binary, often array<long>"), "filter")
+    sent = chunks.mapInArrow(send, "grp long, raw binary").repartition("grp").sortWithinPartitions("grp")
+    return ws.keep(sent.mapInArrow(build, "segment long, n_bits long, bits binary"), "filter")
 
 
 def _sorted_table(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -356,47 +390,50 @@ def rare_counts(chunks: DataFrame, words: DataFrame, frequent) -> DataFrame:
     return _answers(chunks.mapInArrow(ask, "chunk long, pos int, word long").join(words, "word").select("chunk", "pos", F.col("c").alias("value")), "words")
 
 
-def rare_levels(chunks: DataFrame, table: DataFrame, frequent, segments: int, probes: int) -> DataFrame:
-    """(chunk, pairs_at, pairs): levels of each chunk's distinct pairs that are not frequent, asked of the segments: for filters that are not broadcast.
+def asked_levels(chunks: DataFrame, table: DataFrame, segments: int, probes: int) -> DataFrame:
+    """(chunk, groups, pairs): levels of each chunk's distinct pairs, in the pairs' order by group, asked of the segments: for filters that are not broadcast.
 
-    Questions stream past their segment's bits: a task holds one segment and one batch.
+    Questions stream past their group's bits: a task holds one group of segments and one batch.
     """
 
     def ask(batches):
         for c, _ in _chunks(batches):
             keys = np.unique(c.pairs()[1])
-            rare = np.flatnonzero(~_looked_up(frequent.value, keys)[1])
-            yield _batch(chunk=np.full(len(rare), c.id), pos=rare.astype(np.int32), key=keys[rare])
+            rows = [(c.id, g, packed_keys(keys[a:z])) for g, a, z in _by_group(keys, segments)]
+            for lo in range(0, len(rows), 1024):
+                chunk, g, raw = zip(*rows[lo : lo + 1024], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(g, pa.int64()), pa.array(raw, pa.binary())], names=["chunk", "grp", "raw"])
 
     def answer(batches):
-        now, bits = None, None
+        now, held, bits = None, {}, None
         for b in batches:
-            chunk, pos, key = (b.column(n).to_numpy() for n in ("chunk", "pos", "key"))
-            seg = segment_of(key.view(np.uint64), segments)
-            held = np.flatnonzero(b.column("n_bits").is_valid().to_numpy(zero_copy_only=False))
-            cuts = sorted({0, len(seg), *held.tolist(), *(np.flatnonzero(np.diff(seg)) + 1).tolist()})
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if b.column("n_bits")[a].is_valid:
-                    now, bits = seg[a], Bits(b.column("n_bits")[a].as_py(), probes, b.column("bits")[a].as_py())
-                    a += 1
-                if a < z and now == seg[a]:
-                    got = bits.levels(key[a:z].view(np.uint64))
-                    yield _batch(chunk=chunk[a:z][got > 0], pos=pos[a:z][got > 0], value=got[got > 0].astype(np.int32))
-
-    asked = chunks.mapInArrow(ask, "chunk long, pos int, key long").selectExpr("chunk", "pos", "key", "cast(null as long) n_bits", "cast(null as binary) bits")
-    first = F.shiftleft(F.ceil(F.shiftleft(F.col("segment"), 32) / F.lit(segments)).cast("long"), 32)  # a key of the segment
-    both = asked.union(table.select(F.lit(0).cast("long"), F.lit(0), first, "n_bits", "bits"))
-    segment = _segment_column("key", segments)
-    both = both.repartition(segment).sortWithinPartitions(segment, F.col("n_bits").isNull())
-    return _answers(both.mapInArrow(answer, "chunk long, pos int, value int"), "pairs")
-
-
-def probability(level: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: int, words: int, without: int = 0, false_words: float = FALSE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count of the history, frequency of the pair after it, add-one probability of the word; ``without``: occurrences to leave out."""
+            out = []
+            for chunk, grp, n_bits, segment, raw in zip(*(b.column(n).to_pylist() for n in ("chunk", "grp", "n_bits", "segment")), b.column("raw"), strict=True):
+                if grp != now:
+                    now, held, bits = grp, {}, None
+                if n_bits is not None:
+                    held[segment] = (n_bits, raw.as_py())
+                    continue
+                if bits is None:  # segments come before the questions
+                    bits = Filter(segments, probes, held)
+                out.append((chunk, grp, squeeze(bits.levels(unpacked_keys(raw.as_py())[0]))))
+            if out:
+                chunk, grp, raw = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(grp, pa.int64()), pa.array(raw, pa.binary())], names=["chunk", "grp", "raw"])
+
+    asked = chunks.mapInArrow(ask, "chunk long, grp long, raw binary").selectExpr("chunk", "grp", "raw", "cast(null as long) n_bits", "cast(null as long) segment")
+    both = asked.union(table.select(F.lit(0).cast("long"), F.expr(f"segment div {GROUP}"), "bits", "n_bits", "segment"))
+    both = both.repartition("grp").sortWithinPartitions("grp", F.col("n_bits").isNull())
+    answers = both.mapInArrow(answer, "chunk long, grp long, raw binary")
+    return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("grp", "raw"))).alias("got")).select("chunk", F.col("got.raw").alias("pairs"))
+
+
+def probability(level: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: int, words: int, without: int = 0, false_words: float = FALSE_WORDS, once: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count of the history, frequency of the pair after it, add-one probability of the word; ``without``: occurrences to leave out; ``once``: what a pair with a word seen once counts."""
     pair = np.where(level > 0, np.left_shift(1, np.maximum(level.astype(np.int64) - 1, 0)), 0)
     pair = np.maximum(np.minimum(pair, np.minimum(history, word)) - without, 0)
     history, word = np.maximum(history - without, 0), np.maximum(word - without, 0)
-    pair = np.where((history >= LEAST_COUNT) & (word >= LEAST_COUNT), pair, 0)
+    pair = np.where(np.minimum(history, word) == 1, once, 1.0) * pair
     return history, pair / (history + false_words), (word + 1) / (tokens - without + words + 1)
 
 
@@ -414,7 +451,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, dict, pa.R
     """Chunks one by one, with their row's binary columns, and its lists as a batch of one row."""
     for b in batches:
         for i in range(b.num_rows):
-            row = {n: b.column(n)[i].as_py() for n in b.schema.names if n not in ("words", "words_at", "pairs", "pairs_at")}
+            row = {n: b.column(n)[i].as_py() for n in b.schema.names if n not in ("words", "words_at", "pairs")}
             yield Chunk(row), row, b.slice(i, 1)
 
 
@@ -440,22 +477,12 @@ def counted_chunks(ws: Workspace, chunks: DataFrame, words: DataFrame, enough: i
 
 def ready_chunks(ws: Workspace, counted: DataFrame, table: DataFrame, segments: int, probes: int, broadcast_bytes: int) -> DataFrame:
     """Chunks with the counts of their words and the level of each token's pair, written: all that scoring takes."""
-    sc = ws.spark.sparkContext
     size = table.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    whole = known = None
-    asked = counted
+    whole, asked = None, counted
     if size <= broadcast_bytes:
-        whole = sc.broadcast(Filter(segments, probes, {r["segment"]: (r["n_bits"], bytes(r["bits"])) for r in table.select("segment", "n_bits", "bits").toLocalIterator()}))
+        whole = ws.spark.sparkContext.broadcast(Filter(segments, probes, {r["segment"]: (r["n_bits"], bytes(r["bits"])) for r in table.toLocalIterator()}))
     else:
-
-        def levels(batches):
-            for b in batches:
-                for i in range(b.num_rows):
-                    k = _list(b, "often", i).view(np.uint64)
-                    yield _batch(key=k, level=Bits(b.column("n_bits")[i].as_py(), probes, b.column("bits")[i].as_py()).levels(k).astype(np.int64))
-
-        known = sc.broadcast(_sorted_table(table.where(F.size("often") > 0).mapInArrow(levels, "key long, level long"), "key", "level"))
-        asked = counted.join(rare_levels(counted, table, known, segments, probes), "chunk", "left")
+        asked = counted.join(asked_levels(counted, table, segments, probes), "chunk", "left")
 
     def level(batches):
         for c, row, lists in _each(batches):
@@ -464,56 +491,60 @@ def ready_chunks(ws: Workspace, counted: DataFrame, table: DataFrame, segments:
             if whole is not None:
                 got = whole.value.levels(keys)
             else:
-                got = _looked_up(known.value, keys)[0].astype(np.uint8)
-                got[_list(lists, "pairs_at", 0)] = _list(lists, "pairs", 0)
+                parts = lists.column("pairs")[0]
+                got = np.concatenate([np.zeros(0, np.uint8), *(loosen(x.as_py(), np.uint8) for x in (parts.values if parts.is_valid else ()))])
             out = np.zeros(len(c.idx), np.uint8)
             out[at] = got[back]
             yield _row(row, _READY, levels=squeeze(out))
 
     ready = ws.keep(asked.mapInArrow(level, _READY), "ready")
-    for shared in (whole, known):
-        if shared is not None:
-            shared.unpersist()
+    if whole is not None:
+        whole.unpersist()
     return ready
 
 
-def _token_parts(c: Chunk, row: dict, tokens: int, words: int, without: int, false_words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return probability(loosen(row["levels"], np.uint8), c.counts[c.history()], c.counts[c.idx], tokens, words, without, false_words)
+def _token_parts(c: Chunk, row: dict, tokens: int, words: int, without: int, false_words: float, once: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return probability(loosen(row["levels"], np.uint8), c.counts[c.history()], c.counts[c.idx], tokens, words, without, false_words, once)
 
 
 #: Steps of the ratio between relative frequency and add-one probability: 32 a doubling, around 1.
 _STEPS, _MIDDLE = 32, 2048
 
 
-def fit_weights(ready: DataFrame, tokens: int, words: int, false_words: float = FALSE_WORDS) -> dict[int, float]:
-    """Weight of the pair's frequency per doubling of the history's count, by expectation-maximisation.
+def fit_weights(ready: DataFrame, tokens: int, words: int, false_words: float = FALSE_WORDS) -> tuple[dict[int, float], float]:
+    """Weight of the pair's frequency per doubling of the history's count, by expectation-maximisation, and what a pair with a word seen once counts.
 
     All training tokens take part, each left out of its own counts; what reaches the driver is a histogram whose size
     depends on the number of doublings and steps alone.
     """
+    cells = 2 * _MIDDLE + 1
 
     def tally(batches):
-        total = np.zeros(64 * (2 * _MIDDLE + 1), np.int64)
+        total = np.zeros(2 * 64 * cells, np.int64)
         for c, row in _chunks(batches):
-            ch, seen, single = (x[c.trains()] for x in _token_parts(c, row, tokens, words, 1, false_words))
+            t = c.trains()
+            ch, seen, single = (x[t] for x in _token_parts(c, row, tokens, words, 1, false_words))
+            rare = np.minimum(ch, c.counts[c.idx][t] - 1) == 1
             with np.errstate(divide="ignore"):
                 step = np.where(seen > 0, np.clip(np.round(np.log2(np.maximum(seen, 1e-300) / single) * _STEPS), 1 - _MIDDLE, _MIDDLE) + _MIDDLE, 0).astype(np.int64)
-            total += np.bincount((bucket(ch).astype(np.int64) * (2 * _MIDDLE + 1) + step)[ch > 0], minlength=len(total))
-        b, s = np.divmod(np.flatnonzero(total), 2 * _MIDDLE + 1)
+            total += np.bincount(((rare * 64 + bucket(ch).astype(np.int64)) * cells + step)[ch > 0], minlength=len(total))
+        b, s = np.divmod(np.flatnonzero(total), cells)
         yield _batch(b=b, step=s, n=total[total > 0])
 
     rows = ready.mapInArrow(tally, "b long, step long, n long").groupBy("b", "step").agg(F.sum("n").alias("n")).collect()
+    rare = [r for r in rows if r["b"] >= 64]
+    once = sum(r["n"] for r in rare if r["step"]) / max(1, sum(r["n"] for r in rare))
     out = {}
-    for b in sorted({r["b"] for r in rows}):
-        own = sorted((r["step"], r["n"]) for r in rows if r["b"] == b)
-        ratio = np.array([0.0 if s == 0 else 2.0 ** ((s - _MIDDLE) / _STEPS) for s, _ in own])
-        n = np.array([k for _, k in own], float)
+    for b in sorted({r["b"] % 64 for r in rows}):
+        own = sorted((r["b"], r["step"], r["n"]) for r in rows if r["b"] % 64 == b)
+        ratio = np.array([0.0 if s == 0 else 2.0 ** ((s - _MIDDLE) / _STEPS) * (once if k >= 64 else 1) for k, s, _ in own])
+        n = np.array([k for *_, k in own], float)
         w = 0.5
         for _ in range(200):
             w = float((n * (w * ratio / (w * ratio + 1 - w))).sum() / n.sum())
             w = min(w, 0.999)
         out[b] = w
-    return out
+    return out, once
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, segment_pairs: int = SEGMENT_PAIRS, broadcast_bytes: int = BROADCAST_BYTES, false_words: float = FALSE_WORDS) -> DataFrame:
@@ -533,21 +564,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = ws.keep(chunk_texts(docs, id_col, text_col, chunk_tokens), "chunks")
     tokens = chunks.select("chunk", "doc_ids", "held", "lens", "idx").mapInArrow(measure, "train long").agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     words = word_counts(ws, chunks)
-    vocabulary, repeated = words.agg(F.count(F.lit(1)), F.count_if(F.col("c") >= LEAST_COUNT)).first()
-    segments, probes, enough = max(1, -(-tokens // segment_pairs)), first_probes(repeated, false_words), max(2, -(-tokens // FREQUENT))
+    vocabulary = words.count()
+    segments, probes, enough = max(1, -(-tokens // segment_pairs)), first_probes(vocabulary, false_words), max(2, -(-tokens // FREQUENT))
     counted = counted_chunks(ws, chunks, words, enough)
     ws.drop(chunks, words)
     ws.release()
-    table = build_filter(ws, counted, segments, probes, enough)
+    table = build_filter(ws, counted, segments, probes)
     ws.release()
     ready = ready_chunks(ws, counted, table, segments, probes, broadcast_bytes)
     ws.drop(counted, table)
-    weights = fit_weights(ready, tokens, vocabulary, false_words)
+    weights, once = fit_weights(ready, tokens, vocabulary, false_words)
 
     def score(batches):
         by_bucket = np.array([weights.get(b, 0.0) for b in range(65)])
         for c, row in _chunks(batches):
-            ch, seen, single = _token_parts(c, row, tokens, vocabulary, 0, false_words)
+            ch, seen, single = _token_parts(c, row, tokens, vocabulary, 0, false_words, once)
             w = by_bucket[bucket(ch)] * (ch > 0)
             known = (c.counts[c.idx] > 0).astype(np.int64)
             cols = [

@@ -468,6 +468,27 @@ def test_filter_levels():
     assert (lmscore.loosen(lmscore.squeeze(x), np.uint64) == x).all() and len(lmscore.loosen(lmscore.squeeze(x[:0]), np.uint64)) == 0
 
 
+def test_pairs_of_rare_words_count(spark):
+    """Words of five occurrences, always in the same order: the filter tells the word after each, so held-out texts score far above the base."""
+    sequences = [" ".join(f"s{k}x{i}" for i in range(30)) for k in range(20)]
+    rows = [(n, t) for n, t in enumerate(sequences * 6)]
+    got = lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r["held_out"] and r["n_known"] == r["n_tokens"]]
+    assert len(held) > 5
+    assert all(r["score"] > 0.5 * r["base_score"] for r in held)
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(5)
+    keys = np.unique(lmscore.pair_keys(rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64)))
+    n = rng.integers(1, 1 << 40, len(keys))
+    got = lmscore.unpacked_keys(lmscore.packed_keys(keys, n), counts=True)
+    assert (got[0] == keys).all() and (got[1] == n).all()
+    parts = list(lmscore._by_group(keys, 100))
+    assert [z for _, _, z in parts] == [a for _, a, _ in parts[1:]] + [len(keys)] and len(parts) == -(-100 // lmscore.GROUP)
+    assert all((lmscore.segment_of(keys[a:z], 100) // lmscore.GROUP == g).all() for g, a, z in parts)
+
+
 def test_what_follows_a_word_is_expected_to_sum_to_at_most_one():
     """Probabilities of all words of the vocabulary, and of an unknown one, after every history, read from a filter with false hits."""
     rng = np.random.default_rng(4)
