@@ -1,16 +1,19 @@
 """Near copies by fingerprint and by text: SimHash links widened to texts whose five-word shingles are alike by 4/5 or more.
 
-Links within three bits come from the Golay index (``simhash``). Texts further apart in bits are found by the same
+Links within three bits come from the Golay index (``simhash``). Texts further apart in bits are found by a
 pigeonhole on their sets of shingles: sets of likeness 4/5 differ in at most a ninth of their sizes together, so cut by
-hash into one segment more than that, they agree on a whole segment. A segment's key is a hash of its shingles. Sizes
+hash into some segments more than that, they agree on segments that no difference touches. A segment's key is a hash of its shingles. Sizes
 fall into classes (each half as large again), for which the number of segments is fixed; a text that may have partners in the next class
-gives keys for that one, too. Of larger sets SEGMENTS segments are used; each is untouched with a chance of about 2/5 at the very
-threshold, so that a pair at it shares none with a chance of 3 in 10,000, and a pair alike by 0.9 with one of 1 in a million.
+gives keys for that one, too. Segments may be empty and then have no key; a set with too few others to be sure of a shared one also
+gives its least hashes, a fifth of them and one: of two such sets alike by 4/5, those share one. So two sets of likeness 4/5 share a key, always.
 
 Groups grow in rounds. In a round every key names one of its texts (another in every round), and every group takes three of the
 texts that its keys name: the one named most often, the shortest, and any. These pairs are verified on the whole sets; so a round
-verifies at most three pairs a group, however large a group of copies is or however many texts share a passage. It ends when a
-round joins no groups, or after ROUNDS. This search is not exhaustive: README gives the recall.
+verifies at most three pairs a group, however large a group of copies is or however many texts share a passage. Rounds end when one
+joins no groups, or after ROUNDS. They only make the rest small, which is searched exhaustively: all pairs of texts of different
+groups that share a key are counted by shared keys, and verified if these are as many as sets of their sizes and likeness 4/5
+must share. Keys of over HOT texts are left out for a text that shares others with any partner for certain: that has no more
+of them than keys to spare. Texts with more meet each other by these keys, too, in blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from .components import connected_components
 from .simhash import fingerprint, link_fingerprints
 
 WORDS = 5
-SEGMENTS = 16
 ROUNDS = 3
+#: Keys of more texts are looked at only where others would not do; texts of a block of the exhaustive search.
+HOT = 64
 #: Keys of texts that may be told to all tasks; more are joined.
 TOLD_KEYS = 1 << 22
 #: Rows (id and key) of such a table that may be broadcast.
@@ -53,19 +57,39 @@ def _class_ends(size: int) -> list[int]:
     return [top, top * 3 // 2] if 5 * size // 4 > top else [top]
 
 
-def segment_keys(sets: np.ndarray) -> np.ndarray:
-    """Keys of a sorted set's segments: two sets of likeness 4/5 or more share one."""
-    out = []
-    for top in _class_ends(len(sets)) if len(sets) else ():
-        n = 2 * top // 9 + 1
+def segment_keys(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set, and what they are: two sets of likeness 4/5 or more share one.
+
+    A key's mark holds how many segments of its class have one (from bit 18), one more than how many of these may be
+    left out so that with any partner one is still shared (12 bits; 0: none is sure), and the class (6 bits; 0: a least hash).
+    """
+    size, out, marks, unsure = len(sets), [], [], False
+    for top in _class_ends(size) if size else ():
+        most = 2 * top // 9
+        n = most + 1 + (most + 7) // 8
         segment = (sets >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-        cuts = np.searchsorted(segment, np.arange(min(n, SEGMENTS) + 1, dtype=np.uint64)).tolist()
-        out += [xxhash.xxh64_intdigest(sets[a:z].tobytes(), top << 16 | i) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-    return np.array(out, np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), size]
+        out += [xxhash.xxh64_intdigest(sets[a:z].tobytes(), top << 24 | int(segment[a])) for a, z in zip(cuts, cuts[1:], strict=False)]
+        have = len(cuts) - 1
+        sure = max(0, have - (size + min(top, 5 * size // 4)) // 9)
+        unsure |= sure == 0
+        marks += [have << 18 | min(sure, 4095) << 6 | _class_number(top)] * have
+    if unsure:
+        least = sets[: size // 5 + 1]
+        out += [xxhash.xxh64_intdigest(x.tobytes(), 1) for x in least]
+        marks += [1 << 18] * len(least)
+    return np.array(out, np.uint64), np.array(marks, np.int64)
+
+
+def _class_number(top: int) -> int:
+    number, end = 1, 4
+    while end < top:
+        end, number = end * 3 // 2, number + 1
+    return number
 
 
 def prints(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, fp, n, tokens) of every text (key: XXH64 of the text): fingerprint, size of its set, keys of its segments. Repeats of a text in a task may be left out."""
+    """(key, fp, n, tokens, marks) of every text (key: XXH64 of the text): fingerprint, size of its set, its keys. Repeats of a text in a task may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -80,14 +104,15 @@ def prints(docs: DataFrame, text_col: str) -> DataFrame:
                     seen.add(key)
                     text = text.as_py()
                     s = shingles(text)
-                    rows.append((key, fingerprint(text), len(s), segment_keys(s)))
+                    rows.append((key, fingerprint(text), len(s), *segment_keys(s)))
                 if rows:
-                    keys, fps, sizes, tokens = zip(*rows, strict=True)
+                    keys, fps, sizes, tokens, marks = zip(*rows, strict=True)
                     ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                     flat = pa.array(np.concatenate(tokens).astype(np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["key", "fp", "n", "tokens"])
+                    what = pa.array(np.concatenate(marks).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(pa.array(ends), what)], names=["key", "fp", "n", "tokens", "marks"])
 
-    return _keyed(docs, text_col).select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, fp long, n int, tokens array<long>")
+    return _keyed(docs, text_col).select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, fp long, n int, tokens array<long>, marks array<long>")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -166,13 +191,13 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     links = ws.keep(link_fingerprints(ws, fps.select("fp").distinct()), "verified")
     labels = _relabel(ws, fps.select("key", F.col("fp").alias("label")), links, "labels")
     ws.drop(links, fps)
-    posts = marks.select(F.explode("tokens").alias("token"), "key", "n")
+    posts = marks.select(F.explode(F.arrays_zip("tokens", "marks")).alias("t"), "key", "n").select(F.col("t.tokens").alias("token"), "key", "n", F.col("t.marks").alias("mark"))
     shared = posts.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
     open_ = ws.keep(posts.join(shared, "token").distinct(), "shared")
     ws.drop(marks)
     sets = None
     for turn in range(ROUNDS):
-        named = open_.select("token", "key", "n").join(labels, "key")
+        named = open_.select("token", "key", "n", "mark").join(labels, "key")
         # one order for all keys of a round, so the same few texts are named within a large group: by hash, the shortest, the longest, by another hash, ..
         order = F.struct(F.lit(0) if turn % 3 == 0 else F.col("n") * (3 - 2 * (turn % 3)), F.xxhash64("key", F.lit(turn)))
         told = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "n", "label"), order).alias("named")).where("lo <> hi")
@@ -195,9 +220,36 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ws.release()
         if not joined and turn:
             break
+    pairs = _rest(ws, open_.select("token", "key", "n", "mark"), labels)
+    found = ws.keep(_similar(sets, pairs), "similar")
+    if found.limit(1).count():
+        labels = _relabel(ws, labels, found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "labels")
+    ws.drop(pairs, found, sets, open_)
+    ws.release()
     return labels
 
 
+def _rest(ws: Workspace, posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, la, lb), written: all pairs of texts of different groups that share as many keys as sets of their sizes and likeness 4/5 must."""
+    posts = posts.join(labels, "key")
+    shared = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo <> hi").select("token", "texts")
+    posts = ws.keep(posts.join(shared, "token"), "rest")
+    hot = posts.where((F.col("texts") > HOT) & (F.col("mark").bitwiseAND(63) > 0)).groupBy("key", "mark").agg(F.count(F.lit(1)).alias("hot"))
+    posts_ = posts.join(hot, ["key", "mark"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    sure = F.shiftright("mark", 6).bitwiseAND(4095)
+    posts_ = posts_.where((F.col("texts") <= HOT) | (F.col("hot") >= sure))
+    blocks = F.ceil(F.col("texts") / HOT).cast("int")
+    left = posts_.select("token", "key", "n", "label", F.col("mark").bitwiseAND(63).alias("class"), (F.shiftright("mark", 18) - F.col("hot")).alias("have"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
+    right = posts_.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("key").alias("key_"), F.col("n").alias("n_"), F.col("label").alias("label_"), (F.shiftright("mark", 18) - F.col("hot")).alias("have_"))
+    near = (F.col("key") < F.col("key_")) & (F.col("label") != F.col("label_")) & (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n"))
+    by = [F.col(c).alias(x) for c, x in (("key", "a"), ("key_", "b"), ("label", "la"), ("label_", "lb"))]
+    votes = left.join(right, ["token", "block"]).where(near).groupBy(*by, "class", (F.greatest("have", "have_") - F.floor((F.col("n") + F.col("n_")) / 9)).alias("least")).agg(F.count(F.lit(1)).alias("votes"))
+    enough = (F.col("class") == 0) | (F.col("votes") >= F.col("least"))
+    pairs = ws.keep(votes.where(enough).select("a", "b", "la", "lb").distinct(), "pairs")
+    ws.drop(posts)
+    return pairs
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group exactly one row, with the smallest id. Rows without an id stay.
 

@@ -105,6 +105,61 @@ def test_near_copies_by_shingles(spark, monkeypatch):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_sets_alike_share_a_key():
+    """At the very threshold, by any differences: also where the segments that no difference touches are empty, or many shingles are left out of keys."""
+    import numpy as np
+
+    from folioflow.llm import jaccard
+
+    rng = np.random.default_rng(8)
+    for _ in range(4000):
+        union = int(rng.integers(5, 60)) * 5
+        every = np.unique(rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2))
+        gone = len(every) // 5
+        places = np.argsort(every) if rng.random() < 0.3 else rng.permutation(len(every))
+        out = rng.permutation(places[: len(every)])[:gone] if rng.random() < 0.5 else np.linspace(0, len(every) - 1, gone).astype(int)
+        half = int(rng.integers(0, gone + 1))
+        a, b = np.delete(every, out[:half]), np.delete(every, out[half:])
+        if 9 * len(np.intersect1d(a, b)) < 4 * (len(a) + len(b)):
+            continue
+        (ka, ma), (kb, _) = jaccard.segment_keys(a), jaccard.segment_keys(b)
+        assert len(np.intersect1d(ka, kb)) > 0
+        for mark in np.unique(ma):  # as many as the mark promises
+            sure = int(mark) >> 6 & 4095
+            number = int(mark) & 63
+            if number and any(int(m) & 63 == number for m in jaccard.segment_keys(b)[1]):
+                assert len(np.intersect1d(ka[ma == mark], kb)) >= sure
+
+
+def test_near_copies_beside_many_partners(spark, monkeypatch):
+    """Pairs that no round names: each text of a chain is alike to the next alone, while many unlike texts share its keys; every key hot or none."""
+    import random
+
+    from folioflow.llm import jaccard
+
+    r = random.Random(11)
+    texts = []
+    for _ in range(30):  # chains of five, each a step of likeness over 0.8 from the one before
+        w = [f"v{r.randrange(5000)}" for _ in range(120)]
+        for step in range(5):
+            w = [*w[: 24 * step], f"q{r.randrange(99999)}", f"q{r.randrange(99999)}", *w[24 * step + 2 :]]
+            texts.append(" ".join(w))
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = sorted(set(label))
+    assert len(want) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)  # what one round leaves, the exhaustive search finds
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+
+
 def test_registered():
     import __spark_entry__ as e
 
