@@ -12,8 +12,8 @@ texts that its keys name: the one named most often, the shortest, and any. These
 verifies at most three pairs a group, however large a group of copies is or however many texts share a passage. Rounds end when one
 joins no groups, or after ROUNDS. They only make the rest small, which is searched exhaustively: all pairs of texts of different
 groups that share a key are counted by shared keys, and verified if these are as many as sets of their sizes and likeness 4/5
-must share. Keys of over HOT texts are left out for a text that shares others with any partner for certain: that has no more
-of them than keys to spare. Texts with more meet each other by these keys, too, in blocks.
+must share. Keys of over HOT texts are left out there: a text with no more of them than keys to spare shares others with any
+partner for certain. Texts with more meet each other by their rarest shingles, a fifth of them and one, of which two sets of likeness 4/5 share one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -32,7 +32,7 @@ from .simhash import fingerprint, link_fingerprints
 
 WORDS = 5
 ROUNDS = 3
-#: Keys of more texts are looked at only where others would not do; texts of a block of the exhaustive search.
+#: Keys of more texts are left out where others do; texts of a block of the search by rarest shingles.
 HOT = 64
 #: Keys of texts that may be told to all tasks; more are joined.
 TOLD_KEYS = 1 << 22
@@ -220,7 +220,7 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ws.release()
         if not joined and turn:
             break
-    pairs = _rest(ws, open_.select("token", "key", "n", "mark"), labels)
+    pairs = _rest(ws, open_.select("token", "key", "n", "mark"), labels, sets)
     found = ws.keep(_similar(sets, pairs), "similar")
     if found.limit(1).count():
         labels = _relabel(ws, labels, found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "labels")
@@ -229,24 +229,33 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return labels
 
 
-def _rest(ws: Workspace, posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, la, lb), written: all pairs of texts of different groups that share as many keys as sets of their sizes and likeness 4/5 must."""
+def _rest(ws: Workspace, posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, la, lb), written: pairs of texts of different groups that may have a likeness of 4/5, all that have it among them."""
     posts = posts.join(labels, "key")
     shared = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo <> hi").select("token", "texts")
     posts = ws.keep(posts.join(shared, "token"), "rest")
-    hot = posts.where((F.col("texts") > HOT) & (F.col("mark").bitwiseAND(63) > 0)).groupBy("key", "mark").agg(F.count(F.lit(1)).alias("hot"))
-    posts_ = posts.join(hot, ["key", "mark"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    sure = F.shiftright("mark", 6).bitwiseAND(4095)
-    posts_ = posts_.where((F.col("texts") <= HOT) | (F.col("hot") >= sure))
-    blocks = F.ceil(F.col("texts") / HOT).cast("int")
-    left = posts_.select("token", "key", "n", "label", F.col("mark").bitwiseAND(63).alias("class"), (F.shiftright("mark", 18) - F.col("hot")).alias("have"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
-    right = posts_.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("key").alias("key_"), F.col("n").alias("n_"), F.col("label").alias("label_"), (F.shiftright("mark", 18) - F.col("hot")).alias("have_"))
-    near = (F.col("key") < F.col("key_")) & (F.col("label") != F.col("label_")) & (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n"))
+    kind, sure, have = F.col("mark").bitwiseAND(63), F.shiftright("mark", 6).bitwiseAND(4095), F.shiftright("mark", 18)
+    hot = posts.groupBy("key", "mark").agg(F.count_if(F.col("texts") > HOT).alias("hot"))
     by = [F.col(c).alias(x) for c, x in (("key", "a"), ("key_", "b"), ("label", "la"), ("label_", "lb"))]
-    votes = left.join(right, ["token", "block"]).where(near).groupBy(*by, "class", (F.greatest("have", "have_") - F.floor((F.col("n") + F.col("n_")) / 9)).alias("least")).agg(F.count(F.lit(1)).alias("votes"))
-    enough = (F.col("class") == 0) | (F.col("votes") >= F.col("least"))
-    pairs = ws.keep(votes.where(enough).select("a", "b", "la", "lb").distinct(), "pairs")
-    ws.drop(posts)
+    near = (F.col("key") < F.col("key_")) & (F.col("label") != F.col("label_")) & (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n"))
+
+    cold = posts.where((F.col("texts") <= HOT) & (kind > 0)).join(hot, ["key", "mark"])
+    left = cold.select("token", "key", "n", "label", kind.alias("class"), (have - F.col("hot")).alias("have"))
+    right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("key", "n", "label", "have")))
+    least = F.greatest("have", "have_") - F.floor((F.col("n") + F.col("n_")) / 9)  # under 1: both meet below
+    votes = left.join(right, "token").where(near & (least >= 1)).groupBy(*by, "class", least.alias("least")).agg(F.count(F.lit(1)).alias("votes"))
+    sharing = votes.where("votes >= least").select("a", "b", "la", "lb")
+
+    unsure = hot.where(F.col("hot") >= sure).select("key").distinct()
+    own = unsure.join(sets, "key").join(labels, "key").select("key", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    texts = own.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("texts", "token"))
+    rarest = ws.keep(own.join(texts, "token").withColumn("rank", rank).where("rank <= n div 5 + 1 and lo <> hi").select("key", "label", "n", "token", "texts"), "rarest")
+    blocks = F.ceil(F.col("texts") / HOT).cast("int")
+    one = rarest.select("token", "key", "n", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
+    other = rarest.select("token", *(F.col(c).alias(f"{c}_") for c in ("key", "n", "label")), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    pairs = ws.keep(sharing.union(one.join(other, ["token", "block"]).where(near).select(*by)).distinct(), "pairs")
+    ws.drop(posts, rarest)
     return pairs
 
 
