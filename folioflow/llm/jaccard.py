@@ -1,6 +1,7 @@
 """Near copies by fingerprint and by text: SimHash links widened to texts whose five-word shingles are alike by 4/5 or more.
 
-Links within three bits come from the Golay index (``simhash``). Texts further apart in bits are found by a
+Links within three bits come from the Golay index (``simhash``). A text of which more than a fifth of the shingles are in no
+other text is alike to none; shingles are counted over all texts (``prints``), and only the other texts are looked at further. They are found by a
 pigeonhole on their sets of shingles: sets of likeness 4/5 differ in at most a ninth of their sizes together, so cut by
 hash into some segments more than that, they agree on segments that no difference touches. A segment's key is a hash of its shingles. Sizes
 fall into classes (each half as large again), for which the number of segments is fixed; a text that may have partners in the next class
@@ -14,6 +15,9 @@ joins no groups, or after ROUNDS. They only make the rest small, which is search
 groups that share a key are counted by shared keys, and verified if these are as many as sets of their sizes and likeness 4/5
 must share. Keys of over HOT texts are left out there: a text with no more of them than keys to spare shares others with any
 partner for certain. Texts with more meet each other by their rarest shingles, a fifth of them and one, of which two sets of likeness 4/5 share one.
+These are not paired by rows: texts are dealt into blocks, those of a family together, and any two blocks with such a shingle in common are
+compared as a whole, by matrix products over their sets, which give the exact sizes of all intersections. What leaves are links between groups, fewer than groups in the blocks. Rows grow
+with texts times blocks of a family; only the products, of a family too large for a block, grow with the square of its size.
 """
 
 from __future__ import annotations
@@ -23,17 +27,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffle_parts
 from .components import connected_components
 from .simhash import fingerprint, link_fingerprints
 
 WORDS = 5
 ROUNDS = 3
-#: Keys of more texts are left out where others do; texts of a block of the search by rarest shingles.
+#: Keys of more texts are left out where others do.
 HOT = 64
+#: Shingles of a block of texts, each text counted as TEXT shingles more: so many at most, more or less; and where so many, a family is cut further into up to SPREAD blocks, for more tasks.
+TILE, LEAST_TILE, SPREAD, TEXT = 1 << 18, 1 << 15, 16, 128
+#: Shingles (and TEXT for each text) of the texts that ask together which of their shingles are in no other text.
+CHUNK = 1 << 19
+#: Shingles of a range of hashes, if words are of five bytes; a range is one task's at once.
+RANGE = 1 << 22
 #: Keys of texts that may be told to all tasks; more are joined.
 TOLD_KEYS = 1 << 22
 #: Rows (id and key) of such a table that may be broadcast.
@@ -88,31 +100,98 @@ def _class_number(top: int) -> int:
     return number
 
 
-def prints(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, fp, n, tokens, marks) of every text (key: XXH64 of the text): fingerprint, size of its set, its keys. Repeats of a text in a task may be left out."""
+def prints(ws: Workspace, docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, fp, n, own), written, of every text (key: XXH64 of the text): fingerprint, size of its set, how many of its shingles no other text has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Chunks of texts send their shingles to ranges of hashes, 32 bits each beyond the range's, and get counts back. Texts that are
+    repeated in several tasks have several rows, whose shingles count as those of different texts; a hash shared by chance does so, too: ``own`` may be too small, never too large.
+    """
+    texts = _keyed(docs, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(32, max(5, (size // (6 * RANGE)).bit_length()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        chunk, held, rows = TaskContext.get().partitionId() << 32, 0, []
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen = set()
+                seen.add(key)
+                text = text.as_py()
+                rows.append((key, fingerprint(text), shingles(text)))
+                held += len(rows[-1][2]) + TEXT
+                if held >= CHUNK:
+                    yield _asked(chunk, bits, rows)
+                    chunk, held, rows = chunk + 1, 0, []
+        if rows:
+            yield _asked(chunk, bits, rows)
+
+    def gather(t: pa.Table) -> pa.Table:
+        if t.num_rows != 1 << bits or len(t["digest"].unique()) != 1:
+            raise RuntimeError("a part of the texts was read twice, with different rows")
+        first = t["range"].to_pylist().index(0)
+        keys, fps, sizes = (np.frombuffer(t[c][first].as_py(), kind) for c, kind in (("keys", np.int64), ("fps", np.int64), ("sizes", np.int32)))
+        own = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint32).astype(np.int32) for x in t["own"])
+        return pa.table([pa.array(x) for x in (keys, fps, sizes, own)], names=["key", "fp", "n", "own"])
+
+    asked = texts.select("key", F.col("text").cast("binary")).mapInArrow(ask, f"{_ASKED}, counts binary, shingles binary")
+    told = asked.repartition(max(shuffle_parts(ws.spark), 1 << bits), "range").groupBy("range").applyInArrow(_told, f"{_ASKED}, own binary")
+    return ws.keep(told.groupBy("chunk").applyInArrow(gather, "key long, fp long, n int, own int"), "prints")
+
+
+#: A chunk's row of a range; the first range's row brings the texts' keys, fingerprints and sizes, too.
+_ASKED = "range int, chunk long, digest long, keys binary, fps binary, sizes binary"
+
+
+def _asked(chunk: int, bits: int, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """The chunk's rows, one a range: how many shingles each text has there, and the shingles, text after text."""
+    keys, fps, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64), np.array([len(r[2]) for r in rows], np.int32)
+    every, n = np.concatenate([r[2] for r in rows]), 1 << bits
+    at = (every >> np.uint64(64 - bits)).astype(np.int64)
+    counts = np.bincount(at * len(rows) + np.repeat(np.arange(len(rows)), sizes), minlength=n * len(rows)).astype(np.uint32).reshape(n, -1)
+    values = (every >> np.uint64(32 - bits)).astype(np.uint32)[np.argsort(at, kind="stable")]
+    ends = np.cumsum([0, *counts.sum(1).tolist()]).tolist()
+    small = zstandard.ZstdCompressor(level=1)
+    once = [pa.array([x.tobytes(), *[None] * (n - 1)], pa.binary()) for x in (keys, fps, sizes)]
+    packed = [pa.array([small.compress(c.tobytes()) for c in counts], pa.binary()), pa.array([values[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary())]
+    digest = np.array([xxhash.xxh64_intdigest(keys.tobytes())], np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, chunk)), pa.array(np.repeat(digest, n)), *once, *packed], names=["range", "chunk", "digest", "keys", "fps", "sizes", "counts", "shingles"])
+
+
+def _told(t: pa.Table) -> pa.Table:
+    """The rows of a range, with how many of each text's shingles no other text has."""
+    every = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t["shingles"]])
+    order = np.argsort(every)
+    new = np.ones(len(every) + 1, bool)
+    new[1:-1] = every[order[1:]] != every[order[:-1]]
+    alone = np.empty(len(every), bool)
+    alone[order] = (new[1:] & new[:-1])[: len(every)]
+    small, own, a = zstandard.ZstdCompressor(level=1), [], 0
+    for x in t["counts"]:
+        counts = np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+        z = a + int(counts.sum())
+        owner = np.repeat(np.arange(len(counts)), counts)[alone[a:z]]
+        own.append(small.compress(np.bincount(owner, minlength=len(counts)).astype(np.uint32).tobytes()))
+        a = z
+    return t.drop_columns(["counts", "shingles"]).append_column("own", pa.array(own, pa.binary()))
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """(key, n, tokens, marks) of the sets: sizes and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                rows: list[tuple] = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    if key in seen:
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen = set()
-                    seen.add(key)
-                    text = text.as_py()
-                    s = shingles(text)
-                    rows.append((key, fingerprint(text), len(s), *segment_keys(s)))
-                if rows:
-                    keys, fps, sizes, tokens, marks = zip(*rows, strict=True)
-                    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                    flat = pa.array(np.concatenate(tokens).astype(np.uint64).view(np.int64))
-                    what = pa.array(np.concatenate(marks).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(pa.array(ends), what)], names=["key", "fp", "n", "tokens", "marks"])
+                own = [x.values.to_numpy().view(np.uint64) for x in part.column(1)]
+                tokens, marks = zip(*map(segment_keys, own), strict=True)
+                ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
+                flat, what = pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(marks))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, what)], names=["key", "n", "tokens", "marks"])
 
-    return _keyed(docs, text_col).select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, fp long, n int, tokens array<long>, marks array<long>")
+    return sets.select("key", "tokens").mapInArrow(run, "key long, n int, tokens array<long>, marks array<long>")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -120,7 +199,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sets(ws: Workspace, texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, tokens), written: 32 bits of the hash of every shingle of the texts with these keys.
+    """(key, tokens), written: the sorted hashes (as unsigned) of all shingles of the texts with these keys.
 
     Up to TOLD_KEYS keys (32 MB) are broadcast, so that texts are filtered where they are read; beyond, texts are joined with them.
     """
@@ -143,14 +222,14 @@ def _sets(ws: Workspace, texts: DataFrame, keys: DataFrame) -> DataFrame:
                         seen = set()
                     seen.add(key)
                     keys.append(key)
-                    sets.append(np.unique(shingles(b.column(1)[i].as_py()).astype(np.uint32)))
+                    sets.append(shingles(b.column(1)[i].as_py()))
                 if len(keys) == 256 or (keys and i == len(own) - 1):
                     yield _set_batch(keys, sets)
                     keys, sets = [], []
             if keys:
                 yield _set_batch(keys, sets)
 
-    found = texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, tokens array<int>")
+    found = texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, tokens array<long>")
     return ws.keep(found.groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
 
 
@@ -162,7 +241,7 @@ def _among(sorted_keys: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _set_batch(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int32)))], names=["key", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "tokens"])
 
 
 def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -186,16 +265,19 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "jaccard")
     texts = _keyed(docs, text_col)
-    marks = ws.keep(prints(docs, text_col), "prints")
-    fps = ws.keep(marks.select("key", "fp").distinct(), "fingerprints")
+    seen = prints(ws, docs, text_col)
+    fps = ws.keep(seen.select("key", "fp").distinct(), "fingerprints")
     links = ws.keep(link_fingerprints(ws, fps.select("fp").distinct()), "verified")
     labels = _relabel(ws, fps.select("key", F.col("fp").alias("label")), links, "labels")
     ws.drop(links, fps)
+    sets = _sets(ws, texts, seen.where("n > 0 and 5 * own <= n").select("key").distinct())
+    ws.drop(seen)
+    ws.release()
+    marks = ws.keep(_marked(sets), "marks")
     posts = marks.select(F.explode(F.arrays_zip("tokens", "marks")).alias("t"), "key", "n").select(F.col("t.tokens").alias("token"), "key", "n", F.col("t.marks").alias("mark"))
     shared = posts.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
     open_ = ws.keep(posts.join(shared, "token").distinct(), "shared")
     ws.drop(marks)
-    sets = None
     for turn in range(ROUNDS):
         named = open_.select("token", "key", "n", "mark").join(labels, "key")
         # one order for all keys of a round, so the same few texts are named within a large group: by hash, the shortest, the longest, by another hash, ..
@@ -209,8 +291,6 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
         by = (F.col("votes").cast("long"), -F.col("named.n").cast("long"), F.xxhash64("named.key", F.lit(turn)))  # shares most keys, is shortest, any
         best = votes.groupBy("label").agg(*(F.max(F.struct(x.alias("by"), F.xxhash64("key", "named.key", F.lit(turn)).alias("tie"), *pair)).alias(f"c{i}") for i, x in enumerate(by)))
         pairs = ws.keep(best.select(F.explode(F.array("c0", "c1", "c2")).alias("c")).select("c.a", "c.b", "c.la", "c.lb").distinct(), "pairs")
-        if sets is None:  # once: later rounds look at some of these texts
-            sets = _sets(ws, texts, open_.select("key").distinct())
         found = ws.keep(_similar(sets, pairs), "similar")
         joined = found.limit(1).count()
         if joined:
@@ -220,17 +300,16 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ws.release()
         if not joined and turn:
             break
-    pairs = _rest(ws, open_.select("token", "key", "n", "mark"), labels, sets)
-    found = ws.keep(_similar(sets, pairs), "similar")
+    found = _rest(ws, open_.select("token", "key", "n", "mark"), labels, sets)
     if found.limit(1).count():
-        labels = _relabel(ws, labels, found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "labels")
-    ws.drop(pairs, found, sets, open_)
+        labels = _relabel(ws, labels, found, "labels")
+    ws.drop(found, sets, open_)
     ws.release()
     return labels
 
 
 def _rest(ws: Workspace, posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, la, lb), written: pairs of texts of different groups that may have a likeness of 4/5, all that have it among them."""
+    """(a, b), written: links of different groups, whose closure is that of all pairs of their texts that have a likeness of 4/5."""
     posts = posts.join(labels, "key")
     shared = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo <> hi").select("token", "texts")
     posts = ws.keep(posts.join(shared, "token"), "rest")
@@ -250,13 +329,86 @@ def _rest(ws: Workspace, posts: DataFrame, labels: DataFrame, sets: DataFrame) -
     own = unsure.join(sets, "key").join(labels, "key").select("key", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     texts = own.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("texts", "token"))
-    rarest = ws.keep(own.join(texts, "token").withColumn("rank", rank).where("rank <= n div 5 + 1 and lo <> hi").select("key", "label", "n", "token", "texts"), "rarest")
-    blocks = F.ceil(F.col("texts") / HOT).cast("int")
-    one = rarest.select("token", "key", "n", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
-    other = rarest.select("token", *(F.col(c).alias(f"{c}_") for c in ("key", "n", "label")), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    pairs = ws.keep(sharing.union(one.join(other, ["token", "block"]).where(near).select(*by)).distinct(), "pairs")
+    rarest = ws.keep(own.join(texts, "token").withColumn("rank", rank).where("rank <= n div 5 + 1 and lo <> hi").select("key", "label", "n", "token"), "rarest")
+    found = ws.keep(_similar(sets, sharing).select(F.col("la").alias("a"), F.col("lb").alias("b")).union(_compared(ws, rarest, sets)).distinct(), "similar")
     ws.drop(posts, rarest)
-    return pairs
+    return found
+
+
+def _compared(ws: Workspace, rarest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of the groups of texts that share a token of ``rarest`` and have a likeness of 4/5.
+
+    Which texts share a block only decides how many blocks meet, and not what is found.
+    """
+    family = rarest.select("key", "token", F.col("key").alias("family"))
+    for _ in range(2):
+        least = family.groupBy("token").agg(F.min("family").alias("least"))
+        family = rarest.select("key", "token").join(family.select("key", "token", "family").join(least, "token").groupBy("key").agg(F.min("least").alias("family")), "key")
+    own = rarest.select("key", "label", "n").distinct().join(family.select("key", "family").distinct(), "key")
+    weight = F.sum(F.col("n") + TEXT)
+    blocks = own.groupBy("family").agg(F.greatest(F.ceil(weight / TILE), F.least(F.ceil(weight / LEAST_TILE), F.lit(SPREAD))).alias("blocks"))
+    own = ws.keep(own.join(blocks, "family").select("key", "label", "n", F.xxhash64("family", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "blocks")
+    met = rarest.select("token", "key").join(own.select("key", "block"), "key").select("token", "block").distinct()
+    tiles = ws.keep(met.join(met.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct(), "tiles")
+    texts = own.join(sets, "key").select("label", "tokens", F.col("block").alias("at"))
+    left = tiles.join(texts, F.col("block") == F.col("at")).select("block", "other", F.lit(0).alias("side"), "label", "tokens")
+    right = tiles.where("block < other").join(texts, F.col("other") == F.col("at")).select("block", "other", F.lit(1).alias("side"), "label", "tokens")
+    return left.union(right).groupBy("block", "other").applyInArrow(_tile_links, "a long, b long")
+
+
+def _tile_links(t: pa.Table) -> pa.Table:
+    """Links (a, b) of labels of texts alike by 4/5, between the sides of a tile or (no second side) within one; of links that close a ring one is left out."""
+    side, label = t["side"].to_numpy(), t["label"].to_numpy()
+    sizes = t["tokens"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    every = np.concatenate([x.values.to_numpy() for x in t["tokens"]])
+    rows, (column, token) = np.repeat(np.arange(len(side)), sizes), np.unique(every, return_inverse=True)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    place = np.zeros(len(side), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    mine = [np.flatnonzero(np.isin(rows, s)) for s in (left, right)] if side.any() else [np.arange(len(rows))] * 2
+    counts = [np.bincount(token[m], minlength=len(column)) for m in mine]
+    met = (counts[0] > 0) & (counts[1] > (0 if side.any() else 1))
+    heavy = met & (counts[0] * counts[1] > len(left) * len(right) // 128)  # the others' pairs are counted one by one
+    shared = np.zeros(len(left) * len(right), np.float32)
+    width = max(2048, (1 << 22) // max(len(left), len(right)))
+    for cut in np.array_split(np.flatnonzero(heavy), -(-int(heavy.sum()) // width) or 1):
+        dense = []
+        for m, s in zip(mine, (left, right), strict=True):
+            at = np.full(len(column), -1)
+            at[cut] = np.arange(len(cut))
+            x = np.zeros((len(s), len(cut)), np.float32)
+            own = m[at[token[m]] >= 0]
+            x[place[rows[own]], at[token[own]]] = 1
+            dense.append(x)
+        shared += (dense[0] @ dense[1].T).ravel()
+    light = met & ~heavy
+    one, two = (m[light[token[m]]] for m in mine)
+    one, two = one[np.argsort(token[one], kind="stable")], two[np.argsort(token[two], kind="stable")]
+    begin, times = np.searchsorted(token[two], token[one]), counts[1][token[one]]
+    ends = np.cumsum(times)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):
+        z = np.arange(a, min(a + (1 << 22), int(ends[-1])))
+        i = np.searchsorted(ends, z, side="right")
+        j = begin[i] + z - (ends[i] - times[i])
+        pair = place[rows[one[i]]] * len(right) + place[rows[two[j]]]
+        shared += np.bincount(pair, minlength=len(shared))
+    alike = 9 * shared.reshape(len(left), -1).astype(np.float64) >= 4 * (sizes[left][:, None] + sizes[right][None, :])
+    i, j = np.nonzero(alike & (label[left][:, None] != label[right][None, :]))
+    found = np.unique(np.sort(np.stack([label[left][i], label[right][j]], 1), axis=1), axis=0)
+    root: dict[int, int] = {}
+    out = []
+    for a, b in found.tolist():
+        ends_ = []
+        for x in (a, b):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            ends_.append(x)
+        if ends_[0] != ends_[1]:
+            root[ends_[0]] = ends_[1]
+            out.append((a, b))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

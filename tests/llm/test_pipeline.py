@@ -160,6 +160,101 @@ def test_near_copies_beside_many_partners(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
 
 
+def _rows_joined(spark):
+    """Rows that every join of this session's queries has made."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    each = lambda x: [x.apply(i) for i in range(x.size())]
+    for e in each(store.executionsList()):
+        values = store.executionMetrics(e.executionId())
+        for node in each(store.planGraph(e.executionId()).allNodes()):
+            for m in each(node.metrics()) if "Join" in node.name() else ():
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    out[e.executionId(), m.accumulatorId()] = int(v.get().replace(",", ""))
+    return out
+
+
+def test_a_family_is_not_paired_by_rows(spark):
+    """Texts of one family, most of them too far apart: all links are found, and no join makes more rows than some times the texts' shingles."""
+    import random
+
+    from folioflow.llm import jaccard, simhash
+
+    r = random.Random(5)
+    base, texts = [f"v{i}" for i in range(140)], []
+    for _ in range(500):
+        w = list(base)
+        for _ in range(r.randint(3, 5)):
+            w[r.randrange(140)] = f"x{r.randrange(999999)}"
+        texts.append(" ".join(w))
+    fp, sets = [simhash.fingerprint(t.encode()) for t in texts], [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) or (fp[i] ^ fp[j]).bit_count() <= 3:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = sorted(set(label))
+    assert 300 < len(want) < 499
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    before = _rows_joined(spark)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    made = [v for k, v in _rows_joined(spark).items() if k not in before]
+    assert made and max(made) <= 4 * sum(map(len, sets))
+
+
+def test_shingles_of_no_other_text(spark, monkeypatch):
+    """A text's own shingles are counted over all texts, whatever the chunks."""
+    import random
+    from collections import Counter
+
+    from folioflow.llm import jaccard
+    from folioflow.llm.common import Workspace
+
+    r = random.Random(6)
+    texts = sorted({" ".join(f"v{r.randrange(6)}" for _ in range(r.randint(0, 60))) for _ in range(200)})
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    count = Counter(x for s in sets for x in s)
+    want = sorted((len(s), sum(count[x] == 1 for x in s)) for s in sets)
+    assert any(own for _, own in want) and any(own < n for n, own in want)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for chunk in (1 << 19, 1000):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        assert sorted((x["n"], x["own"]) for x in jaccard.prints(Workspace(spark, "test"), docs, "text").collect()) == want
+
+
+def test_tiles():
+    """Links of a tile against brute force: one side or two, equal and very unequal sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from folioflow.llm import jaccard
+
+    rng = np.random.default_rng(9)
+    for case in range(60):
+        sets, k = [], int(rng.integers(1, 40))
+        for _ in range(int(rng.integers(1, 4))):
+            base = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 200)))
+            for _ in range(k):
+                kept = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.2])]
+                sets.append(np.unique(np.append(kept, rng.integers(0, 50, int(rng.integers(0, 9))))))
+        sets = [x for x in sets if len(x)]
+        side = rng.integers(0, 2, len(sets)) if case % 2 else np.zeros(len(sets), int)
+        side[0] = 0
+        label = rng.integers(0, len(sets), len(sets))
+        got = jaccard._tile_links(pa.table({"side": side, "label": label, "tokens": [x.tolist() for x in sets]})).to_pylist()
+        alike = {(int(a), int(b)) for i, a in enumerate(label) for j, b in enumerate(label) if (side[i] < side[j] or not side.any()) and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) and a != b}
+        assert {(x["a"], x["b"]) for x in got} <= alike | {(b, a) for a, b in alike}
+
+        def closure(links):
+            root = list(range(len(sets)))
+            for a, b in links:
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+            return len(set(root))
+
+        assert closure(alike) == closure([(x["a"], x["b"]) for x in got]) == len(sets) - len(got)
+
+
 def test_registered():
     import __spark_entry__ as e
 
