@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_parts
+from .common import Workspace
 from .components import connected_components
 from .simhash import fingerprint, link_fingerprints
 
@@ -138,7 +138,7 @@ def prints(ws: Workspace, docs: DataFrame, text_col: str) -> DataFrame:
         return pa.table([pa.array(x) for x in (keys, fps, sizes, own)], names=["key", "fp", "n", "own"])
 
     asked = texts.select("key", F.col("text").cast("binary")).mapInArrow(ask, f"{_ASKED}, counts binary, shingles binary")
-    told = asked.repartition(max(shuffle_parts(ws.spark), 1 << bits), "range").groupBy("range").applyInArrow(_told, f"{_ASKED}, own binary")
+    told = asked.groupBy("range").applyInArrow(_told, f"{_ASKED}, own binary")
     return ws.keep(told.groupBy("chunk").applyInArrow(gather, "key long, fp long, n int, own int"), "prints")
 
 
