@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,37 +131,49 @@ def with_image_context(chunks: DataFrame) -> DataFrame:
 
 
 def describe_images_in_order(chunks: DataFrame, make: Callable, options: ModelOptions = ModelOptions()) -> DataFrame:
-    """As ``describe_images``, but an image that directly follows a described one sees its new text as context: one document is one task.
+    """As ``describe_images``, but an image that directly follows a described one sees its new text as context.
 
-    The context of the n-th image of a row of adjacent images depends on the answer for the one before it, so nothing less than reading a document
-    in order gives it.
+    The context of the n-th image of a row of adjacent images depends on the answer for the one before it, so a row of images is read in order. Only images
+    go to Python, with the texts beside them, in the order of their documents; the window keeps the rows of a document in one partition.
     """
-    names = [f.name for f in chunks.schema.fields]
+    names = chunks.columns
+    need = F.coalesce(F.col("block_type").isin(*IMAGE_BLOCKS), F.lit(False))
+    near = lambda f: F.coalesce(f("text", 1).over(reading_order()), F.lit(""))
+    follows = F.coalesce(F.lag(need, 1).over(reading_order()), F.lit(False))
+    beside = chunks.withColumns({"_need": need, "_before": near(F.lag), "_after": near(F.lead), "_follows": follows})
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
 
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = made(make, options, (options.prompt or IMAGE_PROMPT).replace("{format}", IMAGE_FORMAT))
-        doc = doc.sort_values("seq", kind="stable").reset_index(drop=True)
-        texts, need = [t or "" for t in doc["text"]], doc["block_type"].isin(IMAGE_BLOCKS).tolist()
-        was, done = list(texts), [False] * len(texts)
-        pictures = doc["image"].tolist() if "image" in names else [None] * len(texts)
 
         def good(raw):
             got = json.loads(answers.cleaned(raw) or "{}")
             return 50 <= len(got.get("description", "")) <= 1200 and got.get("image_type") in IMAGE_TYPES and latex.formulas_ok(got["description"])
 
-        for i in [i for i, n in enumerate(need) if n]:
-            context = "До изображения:\n" + (texts[i - 1] if i else "") + "\nПосле изображения:\n" + (texts[i + 1] if i + 1 < len(texts) else "")
-            raw = _tried(lambda i=i, c=context: model(was[i], c, pictures[i]), good, options.tries * options.rounds)
-            if raw is not None:
-                got = json.loads(answers.cleaned(raw))
-                tail = f". Ключевые слова: {', '.join(got['key_elements'])}" if got["key_elements"] else ""
-                texts[i], done[i] = f"![{got['image_type']}][{was[i]}]({got['description']}{tail})", True
+        last = None  # the text of the image before, as it is now
+        for batch in batches:
+            texts, done = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("text", "_before", "_after", "_follows")]
+            pictures = batch.column(batch.schema.get_field_index("image")) if "image" in names else [None] * batch.num_rows
+            for (text, before, after, follows), picture in zip(zip(*(c.to_pylist() for c in columns), strict=True), pictures, strict=True):
+                context = "До изображения:\n" + (last if follows else before) + "\nПосле изображения:\n" + after
+                image = picture if picture is None else picture.as_py()
+                raw = _tried(lambda t=text or "", c=context, p=image: model(t, c, p), good, options.tries * options.rounds)
+                if raw is not None:
+                    got = json.loads(answers.cleaned(raw))
+                    tail = f". Ключевые слова: {', '.join(got['key_elements'])}" if got["key_elements"] else ""
+                    texts.append(f"![{got['image_type']}][{text or ''}]({got['description']}{tail})")
+                else:
+                    texts.append(text)
+                done.append(raw is not None)
+                last = texts[-1] or ""
+            kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(done)], names=[*names, "described"])
         getattr(model, "close", lambda: None)()
-        doc["text"] = [t if d else w for t, d, w in zip(texts, done, doc["text"], strict=True)]
-        return doc.assign(needs_description=need, described=done)[[*names, "needs_description", "described"]]
 
-    return chunks.groupBy("doc_id").applyInPandas(run, f"{ddl}, needs_description boolean, described boolean")
+    images = beside.where("_need").drop("_need").sortWithinPartitions("doc_id", "seq").mapInArrow(run, f"{ddl}, described boolean")
+    others = chunks.where(~need).withColumn("needs_description", F.lit(False)).withColumn("described", F.lit(False))
+    return images.select(*names, F.lit(True).alias("needs_description"), "described").union(others)
 
 
 def describe_images(chunks: DataFrame, make: Callable[[], AskImage], options: ModelOptions = ModelOptions()) -> DataFrame:
